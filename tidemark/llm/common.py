@@ -23,6 +23,9 @@ SPACE_BYTES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 #: Arrow batches hold at most this many bytes (a longer text makes a batch alone).
 BATCH_BYTES = 8 << 20
 
+#: Characters hashed at a time.
+STRETCH = 1 << 20
+
 _IS_SPACE = np.zeros(256, dtype=bool)
 _IS_SPACE[list(SPACE_BYTES)] = True
 
@@ -145,12 +148,18 @@ class Hasher:
 
     def words(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """A hash for each word data[start:end]."""
-        if not len(starts):
-            return np.empty(0, dtype=_U)
-        up, down = self._tables(self.base, len(data))
-        total = np.zeros(len(data) + 1, dtype=_U)
-        np.cumsum(self.of_byte[data] * up[: len(data)], out=total[1:])
-        return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(_U))
+        out = np.empty(len(starts), dtype=_U)
+        i = 0
+        while i < len(starts):  # a stretch of about STRETCH characters at a time
+            j = max(i + 1, int(np.searchsorted(ends, starts[i] + STRETCH, side="right")))
+            base = starts[i]
+            part, s, e = data[base : ends[j - 1]], starts[i:j] - base, ends[i:j] - base
+            up, down = self._tables(self.base, len(part))
+            total = np.zeros(len(part) + 1, dtype=_U)
+            np.cumsum(self.of_byte[part] * up[: len(part)], out=total[1:])
+            out[i:j] = mix((total[e] - total[s]) * down[s] + (e - s).astype(_U))
+            i = j
+        return out
 
     def runs(self, words: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
         """A hash for each run of so many words from a start."""

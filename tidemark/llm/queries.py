@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, langid, packing, toxicity, url_filter
+from tidemark.llm import bpe, langid, packing, simhash, substring_dedup, toxicity, url_filter
 from tidemark.llm.common import held_out
 
 #: The rules that op4 applies: host, path, verdict.
@@ -38,6 +38,11 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"), rules).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring_dedup.dedup(table(spark, sf_dir, "documents"))
+    return out.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     def digests(doc_ids, ids, tool):
         return {
@@ -50,6 +55,11 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_rows(table(spark, sf_dir, "documents"), word_vocabulary(), digests, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = simhash.classes(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), word_vocabulary())
 
@@ -67,7 +77,9 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_url_filter": op4_url_filter,
+    "op5_substring_dedup": op5_substring_dedup,
     "op6_bpe": op6_bpe,
+    "op7_simhash": op7_simhash,
     "op8_packing": op8_packing,
     "op9_toxicity": op9_toxicity,
     "op10_language": op10_language,
