@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, langid, packing, simhash, substring_dedup, toxicity, url_filter
+from tidemark.llm import ann, bpe, langid, media, packing, quality, simhash, substring_dedup, toxicity, url_filter
 from tidemark.llm.common import held_out
 
 #: The rules that op4 applies: host, path, verdict.
@@ -33,6 +33,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return ann.search(vectors, vectors.where("vec_id % 50 = 0")).select("query_id", "rank", "vec_id", "score")
+
+
+#: The share of the documents that op2 draws.
+SAMPLE_SHARE = 0.5
+
+
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    good = table(spark, sf_dir, "labels").where("quality = 1").select(F.col("doc_id").alias("good_id")).distinct()
+    return quality.resample(docs, docs.join(good, F.col("doc_id") == F.col("good_id"), "left_semi"), SAMPLE_SHARE)
+
+
+def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = media.media_columns(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", F.col("length").alias("media_bytes"), "media_sha256", "feature", "width", "height")
+
+
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     return url_filter.judge(table(spark, sf_dir, "pages"), rules).select("page_id", "host", "path", "rule", "verdict")
@@ -76,6 +96,9 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ann": op1_ann,
+    "op2_quality": op2_quality,
+    "op3_media": op3_media,
     "op4_url_filter": op4_url_filter,
     "op5_substring_dedup": op5_substring_dedup,
     "op6_bpe": op6_bpe,
