@@ -33,9 +33,9 @@ from pyspark.sql import DataFrame
 from tidemark.llm.common import Hasher, bounded_batches, map_batches, texts
 
 #: Words whose ids a worker keeps (about 40 bytes each); beyond it the cache starts anew.
-CACHE_WORDS = 1_500_000
+CACHE_WORDS = 800_000
 #: Texts of so many words in all are encoded together.
-ROUND_WORDS = 6_000_000
+ROUND_WORDS = 4_000_000
 
 # The contractions in the vocabulary file's split pattern, tried in front of runs of
 # letters, single digits and runs of other characters.
@@ -351,7 +351,7 @@ class Encoder:
 
 
 #: A batch is encoded in slices of about so many characters.
-SLICE_CHARS = 4_000_000
+SLICE_CHARS = 2_000_000
 
 
 def slices(batch: list[str]) -> list[tuple[int, int]]:

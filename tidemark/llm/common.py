@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 SPACE_BYTES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 
 #: Arrow batches hold at most this many bytes (a longer text makes a batch alone).
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 #: Characters hashed at a time.
 STRETCH = 1 << 20

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import bounded_batches, held_out, map_batches, texts
-from tidemark.llm.subwords import distinct_words, gathered, grams, letter_runs, lowered, scattered
+from tidemark.llm.subwords import distinct_words, gathered, grams, letter_runs, lowered, scattered, word_sums
 
 MAX_PER_LANGUAGE, MAX_CHARS = 250, 10_000
 SIZES, BUCKETS = (1, 2, 3, 4), 1 << 17
@@ -90,8 +90,7 @@ class Model:
 
     def emissions(self, data, starts, ends) -> tuple[np.ndarray, np.ndarray]:
         keys, at, which = distinct_words(data, starts, ends)
-        flat, of = grams(data, starts[at], ends[at], keys, SIZES, BUCKETS, affixes=True)
-        word = gathered(self.table, flat, of)
+        word, _ = word_sums(data, starts[at], ends[at], keys, SIZES, self.table, affixes=True)
         return word + self.lexical[self.listed(keys)], which
 
     def predict(self, column: pa.Array) -> tuple[list[str], np.ndarray]:

@@ -1,11 +1,11 @@
 """Media columns: content-addressed payloads in tar shards.
 
 A text's payload is its UTF-8 bytes, filled with spaces to a positive multiple of 192, stored as a grey
-8-bit PNG of 192 samples a row. Payloads are named by their SHA-256, so equal texts are stored once: each
-map task hands on the first of its equal payloads, and the few that several tasks have meet by digest.
-Each writing task streams one tar shard into the shared folder, under a name of its own for every attempt;
-its rows say where each payload is, and only the rows of attempts that Spark commits become the manifest.
-So a shard that a lost executor leaves behind is never referred to.
+8-bit PNG of 192 samples a row. Payloads are named by their SHA-256. Each task streams one tar shard into
+the shared folder, under a name of its own for every attempt, in which equal payloads are stored once; its
+rows say where each payload is, and only the rows of attempts that Spark commits count, so a shard that a lost
+executor leaves behind is never referred to. The manifest has one place for each digest; a payload that
+several tasks met lies in the shard of each, which costs less than to shuffle all payloads by digest.
 
 Rows carry (digest, shard, offset, length). Metadata columns are filled by reading the 33 bytes of a PNG's
 signature and header at the offset; payloads are read back by ranges as well.
@@ -87,29 +87,19 @@ def store(docs: DataFrame, root: str | None = None, text_col: str = "text") -> D
     fs, path = filesystem(root)
     fs.create_dir(path, recursive=True)
 
-    def pngs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[bytes] = set()
-        for b in batches:
-            digests, media = [], []
-            for payload in b.column(0).to_pylist():
-                d = hashlib.sha256(payload).digest()
-                if d not in seen:
-                    seen.add(d)
-                    digests.append(d)
-                    media.append(to_png(payload))
-            yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(media, pa.binary())], names=["digest", "media"])
-
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, path = filesystem(root)
         name, out, at, seen = f"{path}/shard-{uuid.uuid4().hex}.tar", None, 0, set()
         for b in batches:
             rows = []
-            for digest, media in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for payload in b.column(0).to_pylist():
+                digest = hashlib.sha256(payload).digest()
                 if digest in seen:
                     continue
                 seen.add(digest)
                 if out is None:
                     out = fs.open_output_stream(name)
+                media = to_png(payload)
                 info = tarfile.TarInfo(digest.hex() + ".png")
                 info.size = len(media)
                 head = info.tobuf(tarfile.GNU_FORMAT)
@@ -125,8 +115,9 @@ def store(docs: DataFrame, root: str | None = None, text_col: str = "text") -> D
 
     bounded_batches(spark)
     payloads = docs.select(padded(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("payload"))
-    media = payloads.mapInArrow(pngs, "digest binary, media binary").repartition("digest")
-    return cut(media.mapInArrow(shards, "digest string, shard string, offset long, length long"), "manifest")
+    written = cut(payloads.mapInArrow(shards, "digest string, shard string, offset long, length long"), "written")
+    place = F.min(F.struct("shard", "offset", "length")).alias("_p")
+    return cut(written.groupBy("digest").agg(place).select("digest", "_p.*"), "manifest")
 
 
 def _read(manifest: DataFrame, size: Column, make, schema: str) -> DataFrame:

@@ -9,8 +9,9 @@ own codeword is among the other's keys.
 
 Fingerprints that differ in at most 4 bits either have a segment without errors, and then one of the other
 two has at most 2: they meet under (the whole segment, a key of the other); or all three segments have
-errors, and then two have exactly one: they meet under (keys of both) x (codewords of both). So no link is
-lost, and a random pair meets rarely.
+errors, and then two have exactly one: they meet under (keys of both) x (codewords of both), to which the
+parities of both segments are added, as in the extended code. So no link is lost, and a random pair meets
+rarely: under 26 bits or more.
 
 Equal fingerprints are one row from the start. Buckets aren't expanded into pairs: every member is first
 compared with the bucket's smallest fingerprint, and the links found make first components; then only
@@ -100,6 +101,7 @@ def keys_of(fp: np.ndarray, own_only: bool) -> tuple[np.ndarray, np.ndarray, np.
         keys.append((np.int64(kind) << 40) | (a.astype(np.int64) << 12) | b.astype(np.int64))
         own.append(mine)
 
+    parity = [np.bitwise_count(p) & 1 for p in part]
     kind = 0
     for i in range(3):
         for j in range(3):
@@ -109,11 +111,12 @@ def keys_of(fp: np.ndarray, own_only: bool) -> tuple[np.ndarray, np.ndarray, np.
                 put(kind, r, part[i][r], k[r, c], np.ones(len(r), dtype=bool))
                 kind += 1
     for i, j in ((0, 1), (0, 2), (1, 2)):
-        if own_only:
-            put(kind, np.arange(len(fp)), code[i], code[j], np.ones(len(fp), dtype=bool))
-        else:
+        # exactly one error in both: the other's parities are the opposite ones
+        both = ((parity[i] << 1) | parity[j]).astype(np.int32) << 12
+        put(kind, np.arange(len(fp)), both | code[i], code[j], np.ones(len(fp), dtype=bool))
+        if not own_only:
             r, a, b = _pairs(near[i], near[j])
-            put(kind, r, a, b, (a == code[i][r]) & (b == code[j][r]))
+            put(kind, r, (both[r] ^ (3 << 12)) | a, b, np.zeros(len(r), dtype=bool))
         kind += 1
     return np.concatenate(rows), np.concatenate(keys), np.concatenate(own)
 
@@ -168,7 +171,9 @@ def classes(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id", tex
     reps = cut(docs_fp.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct")
     pivots = _keys(reps, True).where("own").groupBy("key").agg(F.min("fp").alias("pivot"), F.max("fp").alias("last"))
     # members of buckets in which another fingerprint can be found
-    met = cut(_keys(reps, False).join(pivots, "key").where("pivot != last or fp != pivot").select("key", "fp", "own", "pivot"), "buckets")
+    # (where a bucket has one such member only, its comparison is done here)
+    met = _keys(reps, False).join(pivots, "key").where((F.col("pivot") != F.col("last")) | ((F.col("fp") != F.col("pivot")) & _close("fp", "pivot")))
+    met = cut(met.select("key", "fp", "own", "pivot"), "buckets")
     first = met.where("fp != pivot").where(_close("fp", "pivot")).select(F.col("fp").alias("u"), F.col("pivot").alias("v")).distinct()
     known = cut(components(first), "components")
     label = lambda at, name: known.select(F.col("node").alias(at), F.col("component").alias(name))

@@ -5,9 +5,9 @@ sketch of each block: every window adds one to a cell in each of DEPTH rows, cou
 cells that are hit are written, in sorted stretches of a few bytes a cell. Sketches meet by stretch, where
 merged counts overestimate how often a window occurs, and each block gets back one bit for each of its
 cells: estimated once or repeatedly. The rows are CELLS_PER_WINDOW times as wide as there are windows, so
-the share of windows estimated repeated without being so stays below 2 % at any size of the corpus.
+the share of windows estimated repeated without being so stays below 1 % at any size of the corpus.
 
-Pass two hashes the windows estimated repeated anew to 128 bits and groups those exactly, by joins that
+Pass two hashes the windows estimated repeated anew to 95 bits and groups those exactly, by joins that
 Spark can split: no repeated window is lost, for a count never falls below the truth. The smallest document
 of each group tells which windows go. Nothing but counts of windows comes to the driver.
 
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import Hasher, bounded_batches, cut, drop_tables, mix, text_bytes, window_starts, word_bounds
 
 WINDOW = 50
-DEPTH, CELLS_PER_WINDOW = 2, 8
+DEPTH, CELLS_PER_WINDOW = 2, 16
 #: Windows whose cells make one stretch of the sketch (a power of two).
 STRETCH_WINDOWS = 1 << 20
 
@@ -154,11 +154,11 @@ def _candidates(blocks: DataFrame, n_bits: int, length: int) -> DataFrame:
                     h2 = SECOND.runs(SECOND.words(data, starts, ends), at, length)
                     row = np.searchsorted(first, at, side="right") - 1
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(h.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(ids, pa.int64()).take(pa.array(row)), pa.array(np.full(len(at), block)), pa.array((row << 32) | (at - first[row]))],
+                        [pa.array(h.view(np.int64)), pa.array((h2 >> np.uint64(33)).astype(np.int32)), pa.array(ids, pa.int64()).take(pa.array(row)), pa.array(np.full(len(at), block)), pa.array((row << 32) | (at - first[row]))],
                         names=["h1", "h2", "id", "block", "at"],
                     )
 
-    return blocks.select("block", "ids", "bounds", "texts", "marks").mapInArrow(run, "h1 long, h2 long, id long, block long, at long")
+    return blocks.select("block", "ids", "bounds", "texts", "marks").mapInArrow(run, "h1 long, h2 int, id long, block long, at long")
 
 
 def _removals(blocks: DataFrame, rest_type: str, length: int) -> DataFrame:
@@ -206,9 +206,10 @@ def dedup(docs: DataFrame, length: int = WINDOW, id_col: str = "doc_id", text_co
     marks = cut(marks, "marks")
     per_block = marks.groupBy(F.col("block").alias("m_block")).agg(F.collect_list(F.struct("depth", "stretch", "n", "bits")).alias("marks"))
     found = cut(_candidates(blocks.join(per_block, F.col("block") == F.col("m_block")), n_bits, length), "candidates")
+    drop_tables(marks)
     repeated = cut(found.groupBy("h1", "h2").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("h1", "h2", "lo"), "repeated")
     hits = cut(found.join(repeated, ["h1", "h2"]).where("id > lo").select("block", "at"), "hits")
-    drop_tables(marks, found, repeated)
+    drop_tables(found, repeated)
     hits = hits.groupBy(F.col("block").alias("h_block")).agg(F.collect_list("at").alias("hits"))
     rest_type = blocks.schema["rest"].dataType.elementType.simpleString()
     return _removals(blocks.join(hits, F.col("block") == F.col("h_block"), "left"), rest_type, length)

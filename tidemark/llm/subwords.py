@@ -81,6 +81,21 @@ def grams(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.nda
     return found[order], np.concatenate([[0], np.cumsum(np.bincount(owners, minlength=len(starts)))])
 
 
+#: Distinct words whose n-grams are held at a time.
+CHUNK = 16_384
+
+
+def word_sums(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray, sizes: tuple[int, ...], table: np.ndarray, affixes: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of table rows (columns x buckets) over the n-grams of each word, and their numbers."""
+    out, n = [], []
+    for i in range(0, len(starts), CHUNK):
+        part = slice(i, i + CHUNK)
+        flat, of = grams(data, starts[part], ends[part], hashes[part], sizes, table.shape[1], affixes)
+        out.append(gathered(table, flat, of))
+        n.append(np.diff(of))
+    return np.concatenate(out), np.concatenate(n)
+
+
 def gathered(table: np.ndarray, flat: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """Sums of table rows (columns x buckets, 2-D) over the slices flat[bounds[i]:bounds[i + 1]], none empty."""
     return np.stack([np.add.reduceat(column[flat], bounds[:-1]) for column in table], 1)

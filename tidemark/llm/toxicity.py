@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import bounded_batches, held_out, map_batches, texts
-from tidemark.llm.subwords import distinct_words, gathered, grams, letter_runs, lowered, scattered
+from tidemark.llm.subwords import distinct_words, gathered, grams, letter_runs, lowered, scattered, word_sums
 
 MAX_POSITIVE, MAX_NEGATIVE, MAX_CHARS = 800, 1800, 10_000
 SEGMENT, SIZES, BUCKETS, DIM = 64, (3, 4, 5), 1 << 17, 4
@@ -80,8 +80,8 @@ class Model:
     def words(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The log-odds of each distinct word, and each word's number among them."""
         keys, at, which = distinct_words(data, starts, ends)
-        flat, of = grams(data, starts[at], ends[at], keys, SIZES, BUCKETS)
-        return np.add.reduceat(self.table[flat], of[:-1]) / np.diff(of), which
+        total, n = word_sums(data, starts[at], ends[at], keys, SIZES, self.table[None])
+        return total[:, 0] / n, which
 
 
 def fit(column: list[str], labels: list[int], seed: int = 3) -> Model:
