@@ -11,8 +11,8 @@ LEVELS = 12
 
 
 def with_naive(df: DataFrame) -> DataFrame:
-    """Adds naive: the difference from the value one row before in its feature, in the order of (sample, step)."""
-    rows = carried(df.withColumn(KEY, F.floor(F.col("sample_id") / 1000)), "_before", F.col("y_true"), ["sample_id", "step"], own=False, by="feature")
+    """Adds naive: the difference from the value one row before in its feature, in the order of (sample, step, value)."""
+    rows = carried(df.withColumn(KEY, F.floor(F.col("sample_id") / 1000)), "_before", F.col("y_true"), ["sample_id", "step", "y_true"], own=False, by="feature")
     return rows.withColumn("naive", F.col("y_true") - F.col("_before")).drop("_before", KEY)
 
 

@@ -524,7 +524,7 @@ def _metrics(df: DataFrame, *keys: str) -> DataFrame:
     return df.select(*keys, F.round("mae", 4).alias("mae"), F.round("rmse", 4).alias("rmse"), *[r6(c).alias(c) for c in ("mape", "nrmse", "wape", "smape")])
 
 
-@query(f"WITH {P}, l AS (SELECT *, lag(y) OVER (ORDER BY sample_id, step) AS b FROM p) SELECT feature, {M}, round(avg(abs(y - q)) / avg(abs(y - b)), 6) AS mase FROM l GROUP BY 1")
+@query(f"WITH {P}, l AS (SELECT *, lag(y) OVER (ORDER BY sample_id, step, y) AS b FROM p) SELECT feature, {M}, round(avg(abs(y - q)) / avg(abs(y - b)), 6) AS mase FROM l GROUP BY 1")
 def metrics_overall(spark, sf_dir):
     out = metrics.evaluate(_predictions(spark, sf_dir), with_mase=True).withColumn("mase", r6("mase"))
     return _metrics(out, "feature", "mase")
@@ -666,11 +666,11 @@ def stale_users(spark, sf_dir):
     return accounts.stale_users(o, o.where("o_orderkey % 9 = 0"), F.lit(NOW).cast("timestamp")).select("user_id", us("last_at").alias("last_at"))
 
 
-@query("""WITH f AS (SELECT l_orderkey AS k, count(*) AS n, '[' || string_agg('{"line":' || l_linenumber || ',"flag":"' || l_returnflag || '"}', ',' ORDER BY l_linenumber) || ']' AS files FROM lineitem WHERE l_quantity > 25 GROUP BY 1)
+@query("""WITH f AS (SELECT l_orderkey AS k, count(*) AS n, '[' || string_agg('{"line":' || l_linenumber || ',"flag":"' || l_returnflag || '"}', ',' ORDER BY l_linenumber, l_returnflag) || ']' AS files FROM lineitem WHERE l_quantity > 25 GROUP BY 1)
  SELECT o_orderkey, coalesce(n, 0) AS n_files, coalesce(files, '[]') AS files FROM orders LEFT JOIN f ON k = o_orderkey""")
 def session_list_json(spark, sf_dir):
     files = table(spark, sf_dir, "lineitem").where("l_quantity > 25").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_linenumber").alias("line"), F.col("l_returnflag").alias("flag"))
-    return accounts.session_list(table(spark, sf_dir, "orders").select("o_orderkey"), files, "o_orderkey", ["line", "flag"], ["line"])
+    return accounts.session_list(table(spark, sf_dir, "orders").select("o_orderkey"), files, "o_orderkey", ["line", "flag"], ["line", "flag"])
 
 
 # --- text --------------------------------------------------------------------------------
@@ -705,7 +705,7 @@ def datetime_multi(spark, sf_dir):
     return standardise(rows, TextSpec()).select(F.col("value").cast("long").alias("o_orderkey"), us().alias("at"))
 
 
-@query("SELECT event_id, CASE WHEN value IS NOT NULL THEN lpad(CAST(CAST(floor(value * 1000) AS BIGINT) // 3600 AS VARCHAR), 2, '0') || ':' || lpad(CAST(CAST(floor(value * 1000) AS BIGINT) % 3600 // 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST(CAST(floor(value * 1000) AS BIGINT) % 60 AS VARCHAR), 2, '0') END AS hms FROM events")
+@query("SELECT event_id, CASE WHEN value IS NOT NULL THEN printf('%02d:%02d:%02d', s // 3600, s % 3600 // 60, s % 60) END AS hms FROM (SELECT event_id, value, CAST(floor(value * 1000) AS BIGINT) AS s FROM events)")
 def duration_text(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", scalar.hms(F.floor(F.col("value") * 1000)).alias("hms"))
 
