@@ -8,8 +8,8 @@ of their expected squared distances. The candidates of all tables are merged and
 cosine of the original vectors, in double precision.
 
 Reranking happens where a bucket's rows and its queries meet: about CHUNK rows of some buckets make a group,
-which gives its k nearest for each query, not its pairs. Buckets with more than CHUNK rows are dealt over several groups, each of which sees all the
-bucket's queries, so a hot bucket is neither capped nor one task's. Every vector is indexed; nothing is
+which gives its k nearest for each query, not its pairs. Buckets with more than CHUNK rows are dealt over
+several groups, each of which sees all the bucket's queries, so a hot bucket is neither capped nor one task's. Every vector is indexed; nothing is
 fitted to the data.
 
 Defined results: vectors that are null, empty, zero, of another length than the longest, or that hold a null

@@ -204,7 +204,8 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     Rows with a null id take no part and stay; of rows that repeat an id one stays.
     """
     has = docs.where(F.col(id_col).isNotNull())
-    kept = classes(has, id_col=id_col, text_col=text_col).where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    number = F.row_number().over(Window.partitionBy("_kept").orderBy("_kept"))
-    first = has.join(kept, F.col(id_col) == F.col("_kept")).withColumn("_nth", number).where("_nth = 1").select(docs.columns)
+    kept = classes(has, id_col=id_col, text_col=text_col).where("doc_id = component_id").select(F.col("doc_id").alias("kept")).distinct()
+    rows = has.select(F.col(id_col).cast("long").alias("id"), F.struct(*map(F.col, docs.columns)).alias("row"))
+    nth = F.row_number().over(Window.partitionBy("kept").orderBy("kept"))
+    first = rows.join(kept, F.col("id") == F.col("kept")).withColumn("nth", nth).where("nth = 1").select("row.*")
     return first.unionAll(docs.where(F.col(id_col).isNull()))

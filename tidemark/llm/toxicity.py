@@ -56,7 +56,9 @@ class Model:
         self.slope, self.shift = slope, shift  # from a document's largest log-odds to those of its label
 
     def scores(self, column: pa.Array) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * self.logits(column) + self.shift, -700, 700)))
+        x = self.logits(column)
+        words = np.isfinite(x)
+        return np.where(words, 1 / (1 + np.exp(-np.clip(self.slope * np.where(words, x, 0) + self.shift, -700, 700))), 0.0)
 
     def logits(self, column: pa.Array) -> np.ndarray:
         """The largest log-odds of each text's segments; minus infinity where a text has no word."""
@@ -76,7 +78,6 @@ class Model:
         np.maximum.at(out, row, logit)
         return out
 
-
     def words(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The log-odds of each distinct word, and each word's number among them."""
         keys, at, which = distinct_words(data, starts, ends)
