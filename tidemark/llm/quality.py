@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import Hasher, cut, map_batches, mix, text_bytes, texts, word_bounds
 
 BUCKETS, LENGTH, SEED = 10_000, 50.0, 29
+#: So many ids of target documents are sent to all executors (16 bytes each); more are joined by a shuffle.
+MAX_SENT_IDS = 4_000_000
 HASH = Hasher(41)
 #: Ranges that a round of the search for the k-th largest counts.
 RANGES = 4096
@@ -65,6 +67,15 @@ def model(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     return out
 
 
+def chosen(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The ids and texts of the documents whose id is in the first column of ids; texts stay where they are read."""
+    ids = ids.select(F.col(ids.columns[0]).cast("long").alias("target_id")).where("target_id is not null").distinct()
+    if ids.count() <= MAX_SENT_IDS:
+        ids = F.broadcast(ids)
+    rows = docs.select(F.col(id_col).cast("long").alias(id_col), text_col)
+    return rows.join(ids, F.col(id_col) == F.col("target_id"), "left_semi")
+
+
 def log_ratio(target: np.ndarray, raw: np.ndarray) -> np.ndarray:
     if not target.any():
         return np.zeros(BUCKETS)

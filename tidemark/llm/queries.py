@@ -44,8 +44,8 @@ SAMPLE_SHARE = 0.5
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    good = table(spark, sf_dir, "labels").where("quality = 1").select(F.col("doc_id").alias("good_id")).distinct()
-    return quality.resample(docs, docs.join(good, F.col("doc_id") == F.col("good_id"), "left_semi"), SAMPLE_SHARE)
+    good = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    return quality.resample(docs, quality.chosen(docs, good), SAMPLE_SHARE)
 
 
 def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
