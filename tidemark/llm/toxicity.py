@@ -37,6 +37,9 @@ MIN_DOCS = 15
 #: Weight decay of the vectors; share of the sample that calibrates the scores; how many clean documents
 #: there are for each toxic one where the scores are meant for.
 DECAY, CALIBRATE, CLEAN_FOR_TOXIC = 1e-6, 0.25, 9.0
+#: The calibration takes this power of the log-odds: those of a label's plainest words would else set the
+#: scale, and words that few documents show would never reach the threshold.
+BEND = 0.5
 
 
 def segments(first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -49,6 +52,11 @@ def segments(first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.append(start, first[-1] if len(first) else 0), row
 
 
+def bent(x: np.ndarray) -> np.ndarray:
+    """Log-odds with their differences near nothing widened, as calibration takes them."""
+    return np.sign(x) * np.abs(x) ** BEND
+
+
 class Model:
     def __init__(self, table: np.ndarray, bias: float, slope: float = 1.0, shift: float = 0.0, usual: float | None = None):
         self.usual = usual  # words whose log-odds stay below this, as clean text's do, count nothing
@@ -56,7 +64,7 @@ class Model:
         self.slope, self.shift = slope, shift  # from a document's largest log-odds to those of its label
 
     def scores(self, column: pa.Array) -> np.ndarray:
-        x = self.logits(column)
+        x = bent(self.logits(column))
         words = np.isfinite(x)
         return np.where(words, 1 / (1 + np.exp(-np.clip(self.slope * np.where(words, x, 0) + self.shift, -700, 700))), 0.0)
 
@@ -98,7 +106,7 @@ def fit(column: list[str], labels: list[int], seed: int = 3) -> Model:
         if len(starts):
             model.usual = float(np.quantile(model.words(data, starts, ends)[0], USUAL))
     x = model.logits(pa.array([t for t, r in zip(column, rest, strict=True) if r], pa.string()))
-    y, x = y[rest][np.isfinite(x)], x[np.isfinite(x)]
+    y, x = y[rest][np.isfinite(x)], bent(x[np.isfinite(x)])
     scale = max(float(np.abs(x).max()), 1e-9) if len(x) else 1.0
     z = np.stack([x / scale, np.ones(len(x))], 1)
     weight = np.where(y == 1, 1.0, CLEAN_FOR_TOXIC * y.sum() / max((y == 0).sum(), 1))
@@ -110,7 +118,7 @@ def fit(column: list[str], labels: list[int], seed: int = 3) -> Model:
     return model
 
 
-def train_vectors(column: list[str], labels: list[int], epochs: int = 10, batch: int = 1500, rate: float = 0.2, seed: int = 3) -> Model:
+def train_vectors(column: list[str], labels: list[int], epochs: int = 20, batch: int = 1500, rate: float = 0.1, seed: int = 3) -> Model:
     labels = np.array(labels, dtype=np.int64)
     if not len(labels) or labels.min() == labels.max():
         return Model(np.zeros(BUCKETS), 0.0)
