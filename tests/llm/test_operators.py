@@ -324,3 +324,12 @@ def test_forward_backward_is_exact():
         for k in path:
             total[k] += w
     assert np.allclose(langid.chain(e, np.array([0, 4]), prior, move)[0], total / z)
+
+
+def test_url_filter_second_scheme(spark):
+    """Only the first "://" names an authority: one in a query or fragment gives neither host nor path."""
+    rules = spark.createDataFrame([("com", "/en/", "block")], "host string, path string, verdict string")
+    urls = ["http://ok.com?u=http://bad.com/en/x", "http://ok.com#http://bad.com/en/x", "http://ok.com/a?u=http://bad.com/en/x", "http://ok.com/en/?u=http://b.net/de", "http://ok.com://x.com/en/y", "a\n://OK.com/en/://z"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r["page_id"]: (r["host"], r["path"], r["verdict"]) for r in url_filter.judge(pages, rules).collect()}
+    assert got == {0: ("ok.com", "", "allow"), 1: ("ok.com", "", "allow"), 2: ("ok.com", "/a", "allow"), 3: ("ok.com", "/en/", "block"), 4: ("ok.com:", "//x.com/en/y", "allow"), 5: ("ok.com", "/en/://z", "block")}
