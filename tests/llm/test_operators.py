@@ -333,3 +333,19 @@ def test_url_filter_second_scheme(spark):
     pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
     got = {r["page_id"]: (r["host"], r["path"], r["verdict"]) for r in url_filter.judge(pages, rules).collect()}
     assert got == {0: ("ok.com", "", "allow"), 1: ("ok.com", "", "allow"), 2: ("ok.com", "/a", "allow"), 3: ("ok.com", "/en/", "block"), 4: ("ok.com:", "//x.com/en/y", "allow"), 5: ("ok.com", "/en/://z", "block")}
+
+
+def test_ann_repeated_ids_and_lengths(spark):
+    """Rows of one id take one place of the k, whatever bucket they crowd; each length is searched among its own."""
+    gen = np.random.default_rng(5)
+    base = gen.normal(size=16)
+    near = lambda s: (base + s * gen.normal(size=16)).astype(np.float32).tolist()
+    data = [(0, near(0))] + [(1, near(0.01)) for _ in range(40)] + [(i, near(0.05)) for i in range(2, 9)] + [(20 + i, [1.0, 0.1 * i, 0.0, 1.0]) for i in range(6)] + [(40, [1.0] * 50)]
+    docs = spark.createDataFrame(data, "vec_id long, embedding array<float>").repartition(3)
+    got = ann.search(docs, docs.where("vec_id in (0, 20, 40)")).collect()
+    by = {q: [r["vec_id"] for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == q] for q in (0, 20, 40)}
+    best = {}
+    for i, v in data[1:48]:
+        score = np.dot(v, data[0][1]) / np.linalg.norm(v) / np.linalg.norm(data[0][1])
+        best[i] = max(score, best.get(i, -1))
+    assert by == {0: sorted(best, key=lambda i: -best[i])[:5], 20: [21, 22, 23, 24, 25], 40: []}

@@ -12,14 +12,15 @@ which gives its k nearest for each query, not its pairs. Buckets with more than
 several groups, each of which sees all the bucket's queries, so a hot bucket is neither capped nor one task's. Every vector is indexed; nothing is
 fitted to the data.
 
-Defined results: vectors that are null, empty, zero, of another length than the longest, or that hold a null
-or non-finite component take no part; a row with a null id neither; rows with the query's own id are no
+Defined results: vectors that are null, empty, zero, or that hold a null or non-finite component take no part;
+a row with a null id neither; vectors meet those of their own length only; rows with the query's own id are no
 candidates; of rows that repeat an id the nearest counts; ties go to the smaller id; with fewer candidates
 than k all that were found are returned.
 """
 
 from __future__ import annotations
 
+import functools
 import heapq
 
 import numpy as np
@@ -69,36 +70,45 @@ class Hashes:
         return (slots.astype(np.int64) * self.mix[t]).sum(-1) + t
 
 
+@functools.lru_cache(maxsize=16)
+def hashes_of(dim: int, tables: int, hashes: int, width: float, seed: int) -> Hashes:
+    return Hashes(dim, tables, hashes, width, seed)
+
+
 def _unit(vectors: list) -> np.ndarray:
     x = np.array(vectors, dtype=np.float64)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _rows(df: DataFrame, make: Hashes, template: list | None) -> DataFrame:
+def _rows(df: DataFrame, make: tuple, template: list | None) -> DataFrame:
     """(bucket, id, v): all buckets of each vector; with a template, those that a query visits."""
 
     def run(b: pa.RecordBatch):
-        ids, vectors = b.column(0).to_numpy(zero_copy_only=False), b.column(1)
-        for i in range(0, len(ids), 256):
-            part = vectors.slice(i, 256)
-            x = _unit(part.to_pylist())
-            rows = np.arange(len(x))
-            for t in range(len(make.a)):
-                p = make.slots(x, t)
-                h = np.floor(p)
-                found, who = [make.bucket(h, t)], [rows]
-                if template:
-                    k = h.shape[1]
-                    order = np.argsort(np.concatenate([p - h, 1 - (p - h)], axis=1), axis=1, kind="stable")
-                    for chosen in template[1:]:
-                        moved = h.copy()
-                        for c in chosen:
-                            at = order[:, c]
-                            moved[rows, at % k] += np.where(at < k, -1, 1)
-                        found.append(make.bucket(moved, t))
-                        who.append(rows)
-                who = np.concatenate(who)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), pa.array(ids[i : i + 256][who]), part.take(pa.array(who))], names=["bucket", "id", "v"])
+        every, vectors = b.column(0).to_numpy(zero_copy_only=False), b.column(1)
+        size = vectors.value_lengths().to_numpy(zero_copy_only=False)
+        for dim in np.unique(size).tolist():
+            of_size, hashes = np.flatnonzero(size == dim), hashes_of(dim, *make)
+            for i in range(0, len(of_size), 256):
+                some = of_size[i : i + 256]
+                part, ids = vectors.take(pa.array(some)), every[some]
+                x = _unit(part.to_pylist())
+                rows = np.arange(len(x))
+                for t in range(len(hashes.a)):
+                    p = hashes.slots(x, t)
+                    h = np.floor(p)
+                    found, who = [hashes.bucket(h, t)], [rows]
+                    if template:
+                        k = h.shape[1]
+                        order = np.argsort(np.concatenate([p - h, 1 - (p - h)], axis=1), axis=1, kind="stable")
+                        for chosen in template[1:]:
+                            moved = h.copy()
+                            for c in chosen:
+                                at = order[:, c]
+                                moved[rows, at % k] += np.where(at < k, -1, 1)
+                            found.append(hashes.bucket(moved, t))
+                            who.append(rows)
+                    who = np.concatenate(who)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), pa.array(ids[who]), part.take(pa.array(who))], names=["bucket", "id", "v"])
 
     return map_batches(df, run, "bucket long, id long, v array<float>")
 
@@ -119,14 +129,17 @@ def _nearest(k: int):
         low, high = np.searchsorted(at, asked), np.searchsorted(at, asked, side="right")
         out = []
         for i, j, lo, hi in zip(first, last, low, high, strict=True):
+            own = lo + np.flatnonzero(np.diff(ids[lo:hi], prepend=ids[lo] - 1)) if hi > lo else []  # the first row of each id
             for a in range(i, j if hi > lo else i, 256):
                 z = min(a + 256, j)
                 score = (q[a:z] @ x[lo:hi].T) / (q_length[a:z, None] * length[None, lo:hi])
-                score[q_id[a:z, None] == ids[None, lo:hi]] = -np.inf
+                if len(own) < hi - lo:
+                    score = np.maximum.reduceat(score, own - lo, axis=1)
+                score[q_id[a:z, None] == ids[None, own]] = -np.inf
                 best = np.argsort(-score, axis=1, kind="stable")[:, :k]
                 got = np.take_along_axis(score, best, 1)
                 r, c = np.nonzero(got > -np.inf)
-                out.append((q_id[a + r], ids[lo + best[r, c]], got[r, c]))
+                out.append((q_id[a + r], ids[own[best[r, c]]], got[r, c]))
         if not out:
             return empty
         found = pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), map(np.concatenate, zip(*out, strict=True)), strict=True)))
@@ -145,18 +158,18 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "ve
         return df.select(F.col(id_col).cast("long").alias("id"), v.alias("v")).where("id is not null and v is not null").where(ok)
 
     rows, asked = clean(vectors), clean(queries)
-    dim, n = rows.agg(F.max(F.size("v")), F.count("*")).first()
-    if dim is None:
+    n = rows.count()
+    if not n:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    rows, asked = rows.where(F.size("v") == dim), asked.where(F.size("v") == dim)
-    make = Hashes(dim, tables, hashes, width, seed)
+    make = (tables, hashes, width, seed)
     index = _rows(rows, make, None)
     full = cut(index.groupBy("bucket").count().where(F.col("count") > CHUNK).select(F.col("bucket").alias("b"), F.ceil(F.col("count") / CHUNK).cast("int").alias("parts")), "full")
     at = F.col("bucket") == F.col("b")
     group = F.pmod(F.xxhash64("bucket"), F.lit(n * tables // CHUNK + 1)).alias("slot")  # buckets that share a group
-    index = index.join(full, at, "left").withColumn("part", F.pmod(F.xxhash64("id"), F.coalesce("parts", F.lit(1))).cast("int")).select(group, "part", "bucket", "id", "v")
-    visits = _rows(asked, make, probe_template(hashes, probes)).join(full, at, "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).select(group, "part", "bucket", "id", "v")
-    found = visits.groupBy("slot", "part").cogroup(index.groupBy("slot", "part")).applyInPandas(_nearest(k), "query_id long, vec_id long, score double")
+    length = F.size("v").alias("length")
+    index = index.join(full, at, "left").withColumn("part", F.pmod(F.xxhash64("id", "v"), F.coalesce("parts", F.lit(1))).cast("int")).select(group, "part", length, "bucket", "id", "v")
+    visits = _rows(asked, make, probe_template(hashes, probes)).join(full, at, "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).select(group, "part", length, "bucket", "id", "v")
+    found = visits.groupBy("slot", "part", "length").cogroup(index.groupBy("slot", "part", "length")).applyInPandas(_nearest(k), "query_id long, vec_id long, score double")
     best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
