@@ -32,8 +32,9 @@ THRESHOLD = 0.3
 #: Words of clean text, by rank of their log-odds, that set the range in which a word counts nothing: in a
 #: text of one repeated line an average alone would follow the chance weights of a few words.
 USUAL = 0.999
-#: An n-gram counts if the words it stands in are seen in so many documents of the sample.
-MIN_DOCS = 15
+#: An n-gram counts if the words it stands in are seen in so many documents of the sample, whatever its size:
+#: one that a single document shows says nothing about others. Weight decay does the rest.
+MIN_DOCS = 2
 #: Weight decay of the vectors; share of the sample that calibrates the scores; how many clean documents
 #: there are for each toxic one where the scores are meant for.
 DECAY, CALIBRATE, CLEAN_FOR_TOXIC = 1e-6, 0.25, 9.0
@@ -133,7 +134,7 @@ def train_vectors(column: list[str], labels: list[int], epochs: int = 20, batch:
     # n-grams of words from fewer than MIN_DOCS documents say nothing about other documents
     doc_of = np.repeat(np.arange(len(labels)), np.diff(first))
     seen_in = np.bincount(np.unique(which * len(labels) + doc_of) // len(labels), minlength=len(keys))
-    alive = np.bincount(flat, np.repeat(seen_in, np.diff(of)), BUCKETS) >= max(1, min(MIN_DOCS, len(labels) // 130))
+    alive = np.bincount(flat, np.repeat(seen_in, np.diff(of)), BUCKETS) >= MIN_DOCS
     p = {"E": rng.normal(0, 0.002, (DIM, BUCKETS)) * alive, "W": rng.normal(0, 0.5, (DIM, 2)), "b": np.zeros(2)}
     first_moment, second = {k: np.zeros_like(v) for k, v in p.items()}, {k: np.zeros_like(v) for k, v in p.items()}
     step = 0
