@@ -30,10 +30,10 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from tidemark.llm.common import Hasher, bounded_batches, map_batches, texts
+from tidemark.llm.common import bounded_batches, distinct, map_batches, texts
 
-#: Words whose ids a worker keeps (about 40 bytes each); beyond it the cache starts anew.
-CACHE_WORDS = 800_000
+#: Words whose ids a worker keeps (about 200 bytes each); beyond it the cache starts anew.
+CACHE_WORDS = 400_000
 #: Texts of so many words in all are encoded together.
 ROUND_WORDS = 4_000_000
 
@@ -56,7 +56,6 @@ def character_classes() -> np.ndarray:
 
 
 CLASS = character_classes()
-HASH = Hasher(23, TABLE_END + 1)
 
 
 def byte_alphabet() -> list[str]:
@@ -233,9 +232,9 @@ def split_words(codes: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 class Encoder:
-    """Encodes texts; keeps the ids of words it has met, found again by a 64-bit hash.
+    """Encodes texts; keeps the ids of words it has met, which are compared whole: nothing is known by a hash alone.
 
-    Numbers of words: plain ones by the sorted hashes, those of texts with rare characters by a dict.
+    Numbers of words: plain ones by their characters' codes, those of texts with rare characters by the words.
     """
 
     def __init__(self, path: str):
@@ -243,7 +242,7 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        self.hashes, self.numbers_of = np.empty(0, np.uint64), np.empty(0, np.int32)
+        self.known: dict[bytes, int] = {}
         special = sorted(self.vocab.special.values())
         self.rare: dict = {i: n for n, i in enumerate(special)}
         self.flat, self.bounds = np.array(special, dtype="<u4"), np.arange(len(special) + 1)
@@ -293,19 +292,13 @@ class Encoder:
                 odd[i] = batch[i]
                 kind[ends[i] - 1 - len(plain[i]) : ends[i] - 1] = SPACE
         s, e = split_words(codes, kind)
-        keys, at, which = np.unique(HASH.words(np.minimum(codes, TABLE_END), s, e), return_index=True, return_inverse=True)
-        place = np.searchsorted(self.hashes, keys)
-        known = np.zeros(len(keys), dtype=bool)
-        inside = place < len(self.hashes)
-        known[inside] = self.hashes[place[inside]] == keys[inside]
-        number = np.empty(len(keys), dtype=np.int32)
-        number[known] = self.numbers_of[place[known]]
-        fresh = np.flatnonzero(~known)
+        which, met = distinct(codes, s, e) if len(s) else (np.empty(0, np.int64), [])
+        number = np.array([self.known.get(w, -1) for w in met], dtype=np.int32)
+        fresh = np.flatnonzero(number < 0)
         if len(fresh):
-            at = at[fresh]
-            number[fresh] = self._take([text[i:j] for i, j in zip(s[at].tolist(), e[at].tolist(), strict=True)])
-            self.hashes = np.insert(self.hashes, place[fresh], keys[fresh])
-            self.numbers_of = np.insert(self.numbers_of, place[fresh], number[fresh])
+            new = [met[i] for i in fresh.tolist()]
+            number[fresh] = self._take([w.decode("utf-32-le", "surrogatepass") for w in new])
+            self.known.update(zip(new, number[fresh].tolist(), strict=True))
         words, bounds = number[which], np.concatenate([[0], np.searchsorted(s, ends)])
         if odd:
             parts = [self._rare(odd[i]) if i in odd else words[bounds[i] : bounds[i + 1]] for i in range(len(batch))]

@@ -14,6 +14,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,30 +24,46 @@ SPACE_BYTES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 #: Arrow batches hold at most this many bytes (a longer text makes a batch alone).
 BATCH_BYTES = 4 << 20
 
-#: Characters hashed at a time.
-STRETCH = 1 << 20
-
 _IS_SPACE = np.zeros(256, dtype=bool)
 _IS_SPACE[list(SPACE_BYTES)] = True
 
-_MUL = 0x9E3779B97F4A7C15
 _U = np.uint64
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, as the session has it.
 
-    Where it is unset (local tests) a temporary folder is made and set.
+    Where it is unset, a temporary folder is made and set for a local master; a cluster must name one.
     """
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         at = "file://" + tempfile.mkdtemp(prefix="tidemark-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
 
 
+#: Folders made by this driver and not yet deleted.
+_made: set[str] = set()
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/tidemark/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/tidemark/{name}-{uuid.uuid4().hex}"
+    _made.add(path)
+    return path
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _made.discard(folder)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all that the operators wrote to the shared folder; results that weren't saved elsewhere go with it."""
+    for folder in list(_made):
+        _delete(spark, folder)
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
@@ -69,10 +86,9 @@ def cut(df: DataFrame, name: str) -> DataFrame:
 def drop_tables(*tables: DataFrame) -> None:
     """Delete tables made by cut() that no later plan reads."""
     for t in tables:
-        jvm, spark = t.sparkSession._jvm, t.sparkSession
         for d in {f.rpartition("/")[0] for f in t.inputFiles()}:
-            path = jvm.org.apache.hadoop.fs.Path(d)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+            name = d.rpartition("/")[2]
+            _delete(t.sparkSession, next((m for m in _made if m.endswith("/" + name)), d))
 
 
 def bounded_batches(spark: SparkSession) -> None:
@@ -127,17 +143,42 @@ def _powers(base: int, n: int) -> np.ndarray:
     return out
 
 
+def packed(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The items of words that don't overlap, without what lies between, and each word's bounds in them (words + 1)."""
+    edge = np.zeros(len(data) + 1, dtype=np.int8)
+    edge[starts] += 1
+    edge[ends] -= 1
+    return data[np.cumsum(edge[:-1], dtype=np.int8) > 0], np.concatenate([[0], np.cumsum(ends - starts)])
+
+
+def joined(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[memoryview, np.ndarray]:
+    """The words' bytes, a space after each, and where each word starts there (words + 1)."""
+    items, bounds = packed(data, starts, ends)
+    bounds = bounds + np.arange(len(bounds))
+    out, ink = np.full(bounds[-1], 32, dtype=np.uint8), np.ones(bounds[-1], dtype=bool)
+    ink[bounds[1:] - 1] = False
+    out[ink] = items
+    return memoryview(out.tobytes()), bounds
+
+
+def distinct(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+    """For each word data[start:end] the number of its distinct word, and these as bytes; words are compared whole."""
+    items, bounds = packed(data, starts, ends)
+    column = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(bounds * data.itemsize), pa.py_buffer(np.ascontiguousarray(items))])
+    coded = column.dictionary_encode()
+    return coded.indices.to_numpy(), coded.dictionary.to_pylist()
+
+
 class Hasher:
-    """Two-way independent-looking 64-bit hashes of words and of runs of words, by polynomials modulo 2**64.
+    """64-bit hashes of words (XXH3 of their bytes), and of runs of words by a polynomial modulo 2**64.
 
-    Prefix sums of coefficient * base**position make the hash of any slice two look-ups and one product.
+    Prefix sums of hash * base**position make the hash of any run two look-ups and one product. Runs with much
+    symmetry in them can meet in one hash, so it only selects: what decides compares the words or a digest of them.
     """
 
-    def __init__(self, seed: int, values: int = 256):
+    def __init__(self, seed: int):
         rng = np.random.Generator(np.random.PCG64(seed))
-        self.of_byte = rng.integers(1, 2**63, values, dtype=np.int64).view(_U) | _U(1)
-        self.base = int(rng.integers(2**40, 2**62)) * 8 + 3
-        self.run_base = int(rng.integers(2**40, 2**62)) * 8 + 5
+        self.seed, self.run_base = seed, int(rng.integers(2**40, 2**62)) * 8 + 5
         self._up, self._down = {}, {}
 
     def _tables(self, base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -148,18 +189,11 @@ class Hasher:
 
     def words(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """A hash for each word data[start:end]."""
-        out = np.empty(len(starts), dtype=_U)
-        i = 0
-        while i < len(starts):  # a stretch of about STRETCH characters at a time
-            j = max(i + 1, int(np.searchsorted(ends, starts[i] + STRETCH, side="right")))
-            base = starts[i]
-            part, s, e = data[base : ends[j - 1]], starts[i:j] - base, ends[i:j] - base
-            up, down = self._tables(self.base, len(part))
-            total = np.zeros(len(part) + 1, dtype=_U)
-            np.cumsum(self.of_byte[part] * up[: len(part)], out=total[1:])
-            out[i:j] = mix((total[e] - total[s]) * down[s] + (e - s).astype(_U))
-            i = j
-        return out
+        if not len(starts):
+            return np.empty(0, dtype=_U)
+        which, words = distinct(data, starts, ends)
+        digest, seed = xxhash.xxh3_64_intdigest, self.seed
+        return np.fromiter((digest(w, seed) for w in words), dtype=_U, count=len(words))[which]
 
     def runs(self, words: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
         """A hash for each run of so many words from a start."""

@@ -45,7 +45,7 @@ SAMPLE_SHARE = 0.5
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     good = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
-    return quality.resample(docs, quality.chosen(docs, good), SAMPLE_SHARE)
+    return quality.resample(docs, good, SAMPLE_SHARE).drop("digest")
 
 
 def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,9 +7,10 @@ merged counts overestimate how often a window occurs, and each block gets back o
 cells: estimated once or repeatedly. The rows are CELLS_PER_WINDOW times as wide as there are windows, so
 the share of windows estimated repeated without being so stays below 1 % at any size of the corpus.
 
-Pass two hashes the windows estimated repeated anew to 95 bits and groups those exactly, by joins that
-Spark can split: no repeated window is lost, for a count never falls below the truth. The smallest document
-of each group tells which windows go. Nothing but counts of windows comes to the driver.
+Pass two takes the 128-bit XXH3 digest of the words of each window estimated repeated and groups by it, by
+joins that Spark can split: no repeated window is lost, for a count never falls below the truth, and what
+the sketch confuses is told apart. The smallest document of each group tells which windows go. Nothing but
+counts of windows comes to the driver.
 
 Defined results: words are split at ASCII white space; null and short texts have no windows and lose
 nothing; rows with equal ids, and rows with a null id, neither remove nor are removed by one another
@@ -24,28 +25,29 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Hasher, bounded_batches, cut, drop_tables, mix, text_bytes, window_starts, word_bounds
+from tidemark.llm.common import Hasher, bounded_batches, cut, drop_tables, joined, mix, text_bytes, window_starts, word_bounds
 
 WINDOW = 50
 DEPTH, CELLS_PER_WINDOW = 2, 16
 #: Windows whose cells make one stretch of the sketch (a power of two).
 STRETCH_WINDOWS = 1 << 20
 
-FIRST, SECOND = Hasher(31), Hasher(37)
+HASH = Hasher(31)
 BLOCKS = "block long, ids array<long>, bounds array<long>, texts binary, windows long"
 
 
-def _windows(n_bits: int, first: np.ndarray, hashes: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """Starts of all windows, their hashes, and their cells in each row of the sketch."""
+def _windows(n_bits: int, first: np.ndarray, hashes: np.ndarray, length: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Starts of all windows, and their cells in each row of the sketch."""
     starts = window_starts(first, length)
-    h = FIRST.runs(hashes, starts, length)
+    h = HASH.runs(hashes, starts, length)
     shift = np.uint64(64 - n_bits)
-    return starts, h, [(mix(h + np.uint64(d)) if d else h) >> shift for d in range(DEPTH)]
+    return starts, [(mix(h + np.uint64(d)) if d else h) >> shift for d in range(DEPTH)]
 
 
 def _pack(cells: np.ndarray, twice: np.ndarray) -> bytes:
@@ -102,7 +104,7 @@ def _sketches(blocks: DataFrame, n_bits: int, stretch_bits: int, length: int) ->
         for b in batches:
             for block, bounds, texts in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 data, starts, ends, first = _open(texts, bounds)
-                _, _, rows = _windows(n_bits, first, FIRST.words(data, starts, ends), length)
+                _, rows = _windows(n_bits, first, HASH.words(data, starts, ends), length)
                 for d, cells in enumerate(rows):
                     cells = np.sort(cells)
                     fresh = np.ones(len(cells), dtype=bool)
@@ -136,6 +138,14 @@ def _merge(part: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"block": part["block"], "depth": part["depth"], "stretch": part["stretch"], "n": [len(c) for c in cells], "bits": bits})
 
 
+def digests(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
+    """The 128-bit digest of each window from a word `at`: of its words joined by single spaces, as two longs."""
+    raw, bounds = joined(data, starts, ends)
+    digest = xxhash.xxh3_128_digest
+    out = b"".join([digest(raw[a:z]) for a, z in zip(bounds[at].tolist(), (bounds[at + length] - 1).tolist(), strict=True)])
+    return np.frombuffer(out, dtype=np.int64).reshape(-1, 2)
+
+
 def _candidates(blocks: DataFrame, n_bits: int, length: int) -> DataFrame:
     """(h1, h2, id, block, at) of every window that the sketch estimates repeated; at: row << 32 | word."""
 
@@ -143,22 +153,22 @@ def _candidates(blocks: DataFrame, n_bits: int, length: int) -> DataFrame:
         for b in batches:
             for block, ids, bounds, texts, marks in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 data, starts, ends, first = _open(texts, bounds)
-                at, h, rows = _windows(n_bits, first, FIRST.words(data, starts, ends), length)
+                at, rows = _windows(n_bits, first, HASH.words(data, starts, ends), length)
                 picked = np.ones(len(at), dtype=bool)
                 for d, cells in enumerate(rows):
                     mine = sorted((m for m in marks if m["depth"] == d), key=lambda m: m["stretch"])
                     bits = np.concatenate([np.unpackbits(np.frombuffer(m["bits"], np.uint8), count=m["n"]) for m in mine]) if mine else np.empty(0, np.uint8)
                     picked &= bits[np.unique(cells, return_inverse=True)[1]].astype(bool)
-                at, h = at[picked], h[picked]
+                at = at[picked]
                 if len(at):
-                    h2 = SECOND.runs(SECOND.words(data, starts, ends), at, length)
+                    h = digests(data, starts, ends, at, length)
                     row = np.searchsorted(first, at, side="right") - 1
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(h.view(np.int64)), pa.array((h2 >> np.uint64(33)).astype(np.int32)), pa.array(ids, pa.int64()).take(pa.array(row)), pa.array(np.full(len(at), block)), pa.array((row << 32) | (at - first[row]))],
+                        [pa.array(h[:, 0]), pa.array(h[:, 1]), pa.array(ids, pa.int64()).take(pa.array(row)), pa.array(np.full(len(at), block)), pa.array((row << 32) | (at - first[row]))],
                         names=["h1", "h2", "id", "block", "at"],
                     )
 
-    return blocks.select("block", "ids", "bounds", "texts", "marks").mapInArrow(run, "h1 long, h2 int, id long, block long, at long")
+    return blocks.select("block", "ids", "bounds", "texts", "marks").mapInArrow(run, "h1 long, h2 long, id long, block long, at long")
 
 
 def _removals(blocks: DataFrame, rest_type: str, length: int) -> DataFrame:
