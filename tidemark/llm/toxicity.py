@@ -1,10 +1,12 @@
 """Toxicity: subword-bag embeddings averaged into a linear softmax, trained jointly in numpy.
 
-A word is the mean of the vectors of its hashed character n-grams (3 to 5, with marks at its ends) and of
+A word is the mean of the vectors of its hashed character n-grams (3 to 6, with marks at its ends) and of
 the word itself; a segment of about SEGMENT words is the mean of its words; a linear softmax gives the
-probability of label 1. Vectors and softmax are trained together (Adam, minibatches). A document's score
-is the largest of its segments', so a long text isn't excused by its length. Segments of toxic documents
-that the half-trained model finds clean are left out of the later epochs, but never all of a document.
+probability of label 1. Vectors and softmax are trained together (Adam, minibatches), with a penalty on the
+length of each vector, which leaves those of n-grams that tell nothing at zero. A document's log-odds are
+the largest of its segments', so a long text isn't excused by its length, and a logistic curve fitted to
+labelled documents kept out of the training turns them into the score. Segments of toxic documents that the
+half-trained model finds clean are left out of later epochs, but never all of a document.
 
 Fitting takes at most MAX_POSITIVE and MAX_NEGATIVE labelled documents, chosen by a hash of the id, of at
 most MAX_CHARS characters each; scoring covers every whole text.
@@ -25,22 +27,18 @@ from tidemark.llm.common import bounded_batches, held_out, map_batches, texts
 from tidemark.llm.subwords import distinct_words, gathered, grams, letter_runs, lowered, scattered, word_sums
 
 MAX_POSITIVE, MAX_NEGATIVE, MAX_CHARS = 800, 1800, 10_000
-SEGMENT, SIZES, BUCKETS, DIM = 64, (3, 4, 5), 1 << 17, 4
+SEGMENT, SIZES, BUCKETS, DIM = 16, (3, 4, 5, 6), 1 << 17, 4
 #: The mean over words is multiplied by this, so that one word in a segment can decide.
 GAIN = 16.0
 THRESHOLD = 0.3
-#: Words of clean text, by rank of their log-odds, that set the range in which a word counts nothing: in a
-#: text of one repeated line an average alone would follow the chance weights of a few words.
-USUAL = 0.999
+#: Updates of the training, and segments in each: so the time it takes doesn't grow with the sample.
+STEPS, BATCH = 260, 5000
 #: An n-gram counts if the words it stands in are seen in so many documents of the sample, whatever its size:
-#: one that a single document shows says nothing about others. Weight decay does the rest.
+#: one that a single document shows says nothing about others. The penalty does the rest.
 MIN_DOCS = 2
-#: Weight decay of the vectors; share of the sample that calibrates the scores; how many clean documents
+#: Penalty on the vectors' lengths; share of the sample that calibrates the scores; how many clean documents
 #: there are for each toxic one where the scores are meant for.
-DECAY, CALIBRATE, CLEAN_FOR_TOXIC = 1e-6, 0.25, 9.0
-#: The calibration takes this power of the log-odds: those of a label's plainest words would else set the
-#: scale, and words that few documents show would never reach the threshold.
-BEND = 0.5
+PENALTY, CALIBRATE, CLEAN_FOR_TOXIC = 1e-5, 0.25, 9.0
 
 
 def segments(first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -53,19 +51,13 @@ def segments(first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.append(start, first[-1] if len(first) else 0), row
 
 
-def bent(x: np.ndarray) -> np.ndarray:
-    """Log-odds with their differences near nothing widened, as calibration takes them."""
-    return np.sign(x) * np.abs(x) ** BEND
-
-
 class Model:
-    def __init__(self, table: np.ndarray, bias: float, slope: float = 1.0, shift: float = 0.0, usual: float | None = None):
-        self.usual = usual  # words whose log-odds stay below this, as clean text's do, count nothing
+    def __init__(self, table: np.ndarray, bias: float, slope: float = 1.0, shift: float = 0.0):
         self.table, self.bias = table, bias  # log-odds of each bucket, times GAIN, and of nothing
         self.slope, self.shift = slope, shift  # from a document's largest log-odds to those of its label
 
     def scores(self, column: pa.Array) -> np.ndarray:
-        x = bent(self.logits(column))
+        x = self.logits(column)
         words = np.isfinite(x)
         return np.where(words, 1 / (1 + np.exp(-np.clip(self.slope * np.where(words, x, 0) + self.shift, -700, 700))), 0.0)
 
@@ -80,10 +72,7 @@ class Model:
             return out
         word, which = self.words(data, starts, ends)
         edges, row = segments(first)
-        if self.usual is None:
-            logit = np.add.reduceat(word[which], edges[:-1]) / np.diff(edges) + self.bias
-        else:
-            logit = np.add.reduceat(np.maximum(word - self.usual, 0)[which], edges[:-1]) / np.diff(edges)
+        logit = np.add.reduceat(word[which], edges[:-1]) / np.diff(edges) + self.bias
         np.maximum.at(out, row, logit)
         return out
 
@@ -101,13 +90,8 @@ def fit(column: list[str], labels: list[int], seed: int = 3) -> Model:
     if len(set(y[rest])) < 2 or len(set(y[~rest])) < 2:
         return train_vectors(column, labels)
     model = train_vectors([t for t, r in zip(column, rest, strict=True) if not r], y[~rest].astype(int).tolist())
-    data, bounds = lowered(pa.array([t for t, r, c in zip(column, rest, y, strict=True) if r and c == 0], pa.string()))
-    if len(data):
-        starts, ends, _ = letter_runs(data, bounds)
-        if len(starts):
-            model.usual = float(np.quantile(model.words(data, starts, ends)[0], USUAL))
     x = model.logits(pa.array([t for t, r in zip(column, rest, strict=True) if r], pa.string()))
-    y, x = y[rest][np.isfinite(x)], bent(x[np.isfinite(x)])
+    y, x = y[rest][np.isfinite(x)], x[np.isfinite(x)]
     scale = max(float(np.abs(x).max()), 1e-9) if len(x) else 1.0
     z = np.stack([x / scale, np.ones(len(x))], 1)
     weight = np.where(y == 1, 1.0, CLEAN_FOR_TOXIC * y.sum() / max((y == 0).sum(), 1))
@@ -119,7 +103,7 @@ def fit(column: list[str], labels: list[int], seed: int = 3) -> Model:
     return model
 
 
-def train_vectors(column: list[str], labels: list[int], epochs: int = 20, batch: int = 1500, rate: float = 0.1, seed: int = 3) -> Model:
+def train_vectors(column: list[str], labels: list[int], steps: int = STEPS, batch: int = BATCH, rate: float = 0.1, seed: int = 3) -> Model:
     labels = np.array(labels, dtype=np.int64)
     if not len(labels) or labels.min() == labels.max():
         return Model(np.zeros(BUCKETS), 0.0)
@@ -137,7 +121,7 @@ def train_vectors(column: list[str], labels: list[int], epochs: int = 20, batch:
     alive = np.bincount(flat, np.repeat(seen_in, np.diff(of)), BUCKETS) >= MIN_DOCS
     p = {"E": rng.normal(0, 0.002, (DIM, BUCKETS)) * alive, "W": rng.normal(0, 0.5, (DIM, 2)), "b": np.zeros(2)}
     first_moment, second = {k: np.zeros_like(v) for k, v in p.items()}, {k: np.zeros_like(v) for k, v in p.items()}
-    step = 0
+    step, epochs = 0, -(-steps // max(1, len(row) // batch))
 
     def span(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         n = hi - lo
@@ -158,7 +142,7 @@ def train_vectors(column: list[str], labels: list[int], epochs: int = 20, batch:
         return q / q.sum(1, keepdims=True), s, n, local, own, g, per_word
 
     for epoch in range(epochs):
-        if epoch in (epochs // 2, epochs * 3 // 4):  # which segments of toxic documents carry it?
+        if epoch >= epochs / 4 and epoch % max(1, epochs // 12) == 0:  # which segments of toxic documents carry it?
             prob = np.concatenate([forward(part)[0][:, 1] for part in np.array_split(np.arange(len(row)), max(1, len(row) // batch))])
             best = np.zeros(len(labels))
             np.maximum.at(best, row, prob)
@@ -176,11 +160,11 @@ def train_vectors(column: list[str], labels: list[int], epochs: int = 20, batch:
             of_gram = np.repeat(np.arange(len(own)), per_word)
             grad = {"E": scattered(g, dv[of_gram], BUCKETS), "W": s.T @ d, "b": d.sum(0)}
             step += 1
-            grad["E"] = grad["E"] * alive + DECAY * p["E"]
+            grad["E"] = grad["E"] * alive + PENALTY * p["E"] / (np.sqrt((p["E"] ** 2).sum(0)) + 1e-3)
             for k, x in grad.items():
                 first_moment[k] += 0.1 * (x - first_moment[k])
                 second[k] += 0.01 * (x * x - second[k])
-                p[k] -= rate * (first_moment[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-8)
+                p[k] -= rate * max(0.02, 1 - step / steps) * (first_moment[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-8)
     w = p["W"][:, 1] - p["W"][:, 0]
     return Model(GAIN * (w @ p["E"]), float(p["b"][1] - p["b"][0]))
 
