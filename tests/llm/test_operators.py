@@ -1,15 +1,21 @@
 """Each operator against a brute-force version, on rows with nulls, empty and long texts, ties, repeats and extra columns."""
 
+import collections
 import hashlib
+import itertools
+import math
 import random
+import re
 import zlib
 
 import numpy as np
 import pytest
+import xxhash
 from brute import simhash as brute_simhash
 from brute import substring_dedup as brute_substring
 
 from tidemark.llm import ann, bpe, langid, media, packing, quality, simhash, substring_dedup, toxicity, url_filter
+from tidemark.llm.common import mix
 from tidemark.llm.queries import word_vocabulary
 
 rng = random.Random(4)
@@ -143,19 +149,41 @@ def test_ann(spark):
     assert ann.search(docs.limit(0), docs.limit(0)).count() == 0
 
 
+def quality_weights(docs, good):
+    """Log weights by plain counting: (doc_id, text) rows, and the ids of the target."""
+    grams = lambda t: [
+        *(hs := [xxhash.xxh3_64_intdigest(w.encode(), 41) for w in re.findall(r"[^\x20\x09-\x0D]+", t or "")]),
+        *[int(mix(np.array([(3 * a + b) % 2**64], dtype=np.uint64))[0]) for a, b in itertools.pairwise(hs)],
+    ]
+    raw, target = collections.Counter(), collections.Counter()
+    for i, t in docs:
+        found = [g % quality.BUCKETS for g in grams(t)]
+        raw.update(found)
+        target.update(found if i in good else [])
+    p = lambda c, g: (c[g] + 1) / (c.total() + quality.BUCKETS)
+    return [sum(math.log(p(target, g % quality.BUCKETS) / p(raw, g % quality.BUCKETS)) for g in grams(t)) for _, t in docs]
+
+
 def test_quality(spark):
-    docs = frame(spark, DOCS)
-    target = docs.where("doc_id between 12 and 15")
-    out = quality.resample(docs, target, 0.5).collect()
-    assert len(out) == len(DOCS)
-    assert sum(r["selected"] for r in out) >= len(DOCS) // 2
-    chosen, others = [r["draw"] for r in out if r["selected"]], [r["draw"] for r in out if not r["selected"]]
-    assert min(chosen) >= max(others)
-    ratio = quality.log_ratio(quality.model(target), quality.model(docs))
-    weights = {r["doc_id"]: r["log_weight"] for r in quality.weigh(docs, ratio).collect()}
-    assert weights[14] > weights[18]
-    assert weights[1] == 0
-    assert quality.resample(docs.limit(0), target.limit(0), 0.5).count() == 0
+    docs, good = frame(spark, DOCS), {12, 13, 14, 15}
+    ids = spark.createDataFrame([(i,) for i in [*good, 12, None, 9999]], "doc_id long")
+    for share in (0.0, 0.1, 0.5, 1.0):
+        out = quality.resample(docs, ids, share).collect()
+        assert len(out) == len(DOCS)
+        assert sum(r["selected"] for r in out) == round(share * len(DOCS))
+        chosen, others = [r["draw"] for r in out if r["selected"]], [r["draw"] for r in out if not r["selected"]]
+        assert not chosen or not others or min(chosen) >= max(others)
+    expected = sorted((str(i), round(w, 6)) for (i, _), w in zip(DOCS, quality_weights(DOCS, good), strict=True))
+    assert sorted((str(r["doc_id"]), round(r["log_weight"], 6)) for r in out) == expected
+    assert {r["log_weight"] for r in quality.resample(docs, ids.limit(0), 0.5).collect()} == {0.0}
+    assert quality.resample(docs.limit(0), ids, 0.5).count() == 0
+
+
+def test_quality_selects_exactly_k_of_repeated_rows(spark):
+    """Rows that share id and text share the draw: as many are selected as have room."""
+    docs = spark.createDataFrame([(None, "aa bb")] * 10 + [(1, "cc"), (2, "dd")], "doc_id long, text string")
+    for k in range(13):
+        assert quality.resample(docs, docs.where("doc_id = 1"), k / 12).where("selected").count() == k
 
 
 def test_quality_kth_largest(spark):
@@ -349,3 +377,59 @@ def test_ann_repeated_ids_and_lengths(spark):
         score = np.dot(v, data[0][1]) / np.linalg.norm(v) / np.linalg.norm(data[0][1])
         best[i] = max(score, best.get(i, -1))
     assert by == {0: sorted(best, key=lambda i: -best[i])[:5], 20: [21, 22, 23, 24, 25], 40: []}
+
+
+def thue_morse(n, a, b):
+    return [b if i.bit_count() % 2 else a for i in range(n)]
+
+
+def test_words_of_much_symmetry_are_told_apart(spark, library):
+    """Words and passages on which every polynomial hash modulo 2^64 is alike."""
+    words = ["".join(thue_morse(n, *pair)) for n in (1024, 2048, 4096) for pair in ("ab", "ba")]
+    encoder = bpe.Encoder(word_vocabulary())
+    for batch in (words, words[::-1], [" ".join(words)]):
+        assert [x.tolist() for x in encoder.encode(batch)] == [library.encode(t, add_special_tokens=False).ids for t in batch]
+    left, right = prose(30), prose(30)
+    docs = [(i, f"{left} {w} {right}") for i, w in enumerate(words)] + [(10 + i, " ".join(thue_morse(2048, *p))) for i, p in enumerate((("x", "y"), ("y", "x")))]
+    out = substring_dedup.dedup(frame(spark, docs)).select("id", "n_words", "n_removed", "text")
+    got = sorted(((i, n, k, hashlib.sha256(t.encode()).hexdigest()) for i, n, k, t in out.collect()), key=str)
+    assert got == sorted(brute_substring(docs), key=str)
+    packed = packing.pack(frame(spark, docs), word_vocabulary()).toPandas()
+    for i, t in docs:
+        ids = np.array([*library.encode(t, add_special_tokens=False).ids, 1], dtype="<u4")
+        assert all(zlib.crc32(ids[r.start : r.start + r.length].tobytes()) == r.ids_crc32 for r in packed[packed["doc_id"] == i].itertuples())
+
+
+def test_ann_splits_hot_slots_and_settles_ties(spark, monkeypatch):
+    """Slots of more rows and queries than a group holds, copies, and equal scores; doubles are scored as doubles."""
+    monkeypatch.setattr(ann, "CHUNK", 100)
+    monkeypatch.setattr(ann, "QUERIES", 20)
+    gen = np.random.default_rng(6)
+    base = gen.normal(size=12)
+    x = np.concatenate([base + 0.05 * gen.normal(size=(600, 12)), gen.normal(size=(600, 12)), np.tile(base * 1e200, (300, 1))])
+    docs = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(7, None)], "vec_id long, embedding array<double>").repartition(4)
+    got = collections.defaultdict(list)
+    for r in ann.search(docs, docs.where("vec_id % 10 = 0")).collect():
+        got[r["query_id"]].append((r["rank"], r["vec_id"], r["score"]))
+    u = ann.unit(x)
+    hits = 0
+    for q in range(0, 1500, 10):
+        score = u @ u[q]
+        score[q] = -2
+        mine = sorted(got[q])
+        assert [r for r, _, _ in mine] == [1, 2, 3, 4, 5]
+        assert max(abs(s - score[i]) for _, i, s in mine) < 1e-14
+        hits += sum(s >= np.sort(score)[-5] - 1e-12 for _, _, s in mine)
+        if q >= 1200:
+            assert [i for _, i, _ in mine] == [i for i in range(1200, 1206) if i != q][:5]
+    assert hits >= 0.9 * 750
+
+
+def test_ann_fits_its_setting(spark):
+    """Clustered vectors meet few others; the setting finds the share of neighbours asked for."""
+    gen = np.random.default_rng(8)
+    x = np.repeat(gen.normal(size=(150, 24)), 20, axis=0) + 0.2 * gen.normal(size=(3000, 24))
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>")
+    plan = ann.tune(rows, rows.where("id % 20 = 0"), 3000)
+    assert plan.recall >= ann.RECALL
+    assert plan.compared < 0.25

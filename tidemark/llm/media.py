@@ -17,6 +17,7 @@ any length are stored whole; repeated rows each have their row; a null id stays
 from __future__ import annotations
 
 import hashlib
+import math
 import struct
 import tarfile
 import uuid
@@ -28,8 +29,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import bounded_batches, cut, filesystem, fresh_path, map_batches, texts
+from tidemark.llm.common import bounded_batches, cut, filesystem, fresh_path, texts
 
+#: Stored bytes that one task reads back at most.
+TASK_BYTES = 64 << 20
 #: Samples a row: payloads are multiples of this.
 ROW = 192
 LEVEL = 6
@@ -117,25 +120,36 @@ def store(docs: DataFrame, root: str | None = None, text_col: str = "text") -> D
     payloads = docs.select(padded(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("payload"))
     written = cut(payloads.mapInArrow(shards, "digest string, shard string, offset long, length long"), "written")
     place = F.min(F.struct("shard", "offset", "length")).alias("_p")
-    return cut(written.groupBy("digest").agg(place).select("digest", "_p.*"), "manifest")
+    size = written.agg(F.sum("length")).first()[0] or 0
+    one = written.groupBy("digest").agg(place).select("digest", "_p.*")
+    return cut(one.repartitionByRange(max(2 * docs.sparkSession.sparkContext.defaultParallelism, math.ceil(size / TASK_BYTES)), "shard", "offset").sortWithinPartitions("shard", "offset"), "manifest")
 
 
 def _read(manifest: DataFrame, size: Column, make, schema: str) -> DataFrame:
-    """make(list of bytes) -> columns, for the first `size` bytes of every payload, read by ranges."""
+    """make(list of bytes) -> columns, for the first `size` bytes of every payload, read by ranges.
 
-    def run(b: pa.RecordBatch):
+    The manifest's rows come in the order of shards and offsets: a task opens a shard once and reads ahead in it.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_name, file = None, None
-        rows = b.to_pylist()
-        for i in range(0, len(rows), 256):
-            part, raw = rows[i : i + 256], []
-            for r in part:
-                if r["shard"] != open_name:
-                    file = filesystem("file:" + r["shard"] if r["shard"].startswith("/") else r["shard"])[0].open_input_file(r["shard"])
-                    open_name = r["shard"]
-                raw.append(file.read_at(r["size"], r["offset"]))
-            yield pa.RecordBatch.from_pydict({"digest": [r["digest"] for r in part], **make(raw)})
-
-    return map_batches(manifest.select("digest", "shard", "offset", size.alias("size")), run, f"digest string, {schema}")
+        for b in batches:
+            rows = b.to_pylist()
+            for i in range(0, len(rows), 256):
+                part, raw = rows[i : i + 256], []
+                for r in part:
+                    if r["shard"] != open_name:
+                        if file is not None:
+                            file.close()
+                        file = filesystem("file:" + r["shard"] if r["shard"].startswith("/") else r["shard"])[0].open_input_file(r["shard"])
+                        open_name = r["shard"]
+                    raw.append(file.read_at(r["size"], r["offset"]))
+                yield pa.RecordBatch.from_pydict({"digest": [r["digest"] for r in part], **make(raw)})
+        if file is not None:
+            file.close()
+
+    bounded_batches(manifest.sparkSession)
+    return manifest.select("digest", "shard", "offset", size.alias("size")).mapInArrow(run, f"digest string, {schema}")
 
 
 def headers(manifest: DataFrame) -> DataFrame:

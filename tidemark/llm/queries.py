@@ -113,11 +113,12 @@ _RULES_SQL = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
 ORACLE_SQL: dict[str, str] = {
     "op4_url_filter": f"""
         WITH rules(rh, rp, rv) AS (VALUES {_RULES_SQL}),
+        rests AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
         parts AS (
             SELECT page_id,
-                   COALESCE(translate(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
-                   COALESCE(regexp_extract(url, '^.*?://[^/?#]*(/[^?#]*)', 1, 's'), '') AS path
-            FROM pages),
+                   translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                   regexp_extract(rest, '^[^/?#]*(/[^?#]*)', 1) AS path
+            FROM rests),
         judged AS (
             SELECT p.*, rh || rp AS rule, rv,
                    row_number() OVER (PARTITION BY page_id ORDER BY length(rh) + length(rp) DESC NULLS LAST, length(rh) DESC, rh || rp DESC) AS k
