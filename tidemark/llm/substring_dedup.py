@@ -51,14 +51,23 @@ def _windows(n_bits: int, first: np.ndarray, hashes: np.ndarray, length: int) ->
 
 
 def _pack(cells: np.ndarray, twice: np.ndarray) -> bytes:
-    """Sorted cells with a flag each, as compressed byte planes of the differences."""
-    step = np.diff(cells, prepend=np.uint64(0)) * np.uint64(2) + twice
-    return zstandard.compress(np.ascontiguousarray(step.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes(), 1)
+    """Sorted cells with a flag each: of their differences the lower bits as they are, of the small rest a compressed byte."""
+    step = np.diff(cells, prepend=np.uint64(0)).astype(np.uint64)
+    k = max(0, int(cells[-1] // np.uint64(len(cells))).bit_length() - 1)
+    planes = [np.packbits(twice), *(np.packbits((step >> np.uint64(i) & np.uint64(1)).astype(np.uint8)) for i in range(k))]
+    high = np.ascontiguousarray((step >> np.uint64(k)).astype("<u4").view(np.uint8).reshape(-1, 4).T)
+    return bytes([k]) + len(cells).to_bytes(8, "little") + b"".join(p.tobytes() for p in planes) + zstandard.compress(high.tobytes(), 3)
 
 
 def _unpack(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
-    step = np.ascontiguousarray(np.frombuffer(zstandard.decompress(raw), np.uint8).reshape(8, -1).T).view("<u8").ravel()
-    return np.cumsum(step >> np.uint64(1), dtype=np.uint64), (step & np.uint64(1)).astype(bool)
+    k, n = raw[0], int.from_bytes(raw[1:9], "little")
+    size = -(-n // 8)
+    plane = lambda i: np.unpackbits(np.frombuffer(raw, np.uint8, size, 9 + i * size), count=n)
+    high = np.ascontiguousarray(np.frombuffer(zstandard.decompress(raw[9 + (k + 1) * size :]), np.uint8).reshape(4, -1).T).view("<u4").ravel()
+    step = high.astype(np.uint64) << np.uint64(k)
+    for i in range(k):
+        step |= plane(1 + i).astype(np.uint64) << np.uint64(i)
+    return np.cumsum(step, dtype=np.uint64), plane(0).astype(bool)
 
 
 def _stage(docs: DataFrame, id_col: str, text_col: str, carry: list[str], length: int) -> DataFrame:
