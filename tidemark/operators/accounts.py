@@ -79,3 +79,15 @@ def session_list(sessions: DataFrame, files: DataFrame, key: str, columns: list[
     item = F.array_sort(F.collect_list(F.struct(*order, F.struct(*columns).alias("_f"))))
     listed = files.groupBy(key).agg(F.count("*").alias("n_files"), F.to_json(F.transform(item, lambda x: x._f)).alias("files"))
     return sessions.join(listed, key, "left").withColumns({"n_files": F.coalesce("n_files", F.lit(0)), "files": F.coalesce("files", F.lit("[]"))})
+
+
+# Training runs a month by plan; -1 stands for no limit.
+TRAINING_RUNS = {"Free": 0, "Pro": 5, "Enterprise": -1}
+
+
+def fill_training_limits(plans: DataFrame, name: str = "name", limit: str = "max_runs") -> DataFrame:
+    """Plans whose limit is null or 0 get that of their name, unknown names 0; other limits stay."""
+    known = F.lit(0)
+    for plan, runs in TRAINING_RUNS.items():
+        known = F.when(F.col(name) == plan, runs).otherwise(known)
+    return plans.withColumn(limit, F.when(F.coalesce(F.col(limit), F.lit(0)) == 0, known).otherwise(F.col(limit)))

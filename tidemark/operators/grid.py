@@ -39,11 +39,10 @@ def bounds(series: DataFrame) -> DataFrame:
     return series.groupBy("series_id").agg(F.unix_seconds(F.min("ts")).alias("t_min"), F.unix_seconds(F.max("ts")).alias("t_max"))
 
 
-def grid(limits: DataFrame, step_minutes: float, offset_minutes: float = 0, anchor: str | None = None) -> DataFrame:
-    """(series_id, g, t0): the grid points of each series between its limits (series_id, t_min, t_max).
+def starts(limits: DataFrame, step_minutes: float, offset_minutes: float = 0, anchor: str | None = None) -> DataFrame:
+    """Adds t0 to the limits (series_id, t_min, t_max): the first point of each series' grid.
 
     offset: minutes after the full hour, taken modulo the step; anchor: a time that lies on the grid instead.
-    Points come from ranges of at most MAX_POINTS, which is checked where the plan runs.
     """
     step = checked_step(step_minutes)
     offset = round(offset_minutes * 60) % step if offset_minutes > 0 else 0
@@ -53,7 +52,16 @@ def grid(limits: DataFrame, step_minutes: float, offset_minutes: float = 0, anch
         at = F.unix_seconds(F.lit(anchor).cast("timestamp"))
         limits = limits.withColumn("_anchor", at)
         start = anchor_start("_anchor", "t_min", step)
-    out = limits.withColumn("t0", start).withColumn("_n", floor_div("t_max - t0", step) + 1)
+    return limits.withColumn("t0", start)
+
+
+def grid(limits: DataFrame, step_minutes: float, offset_minutes: float = 0, anchor: str | None = None) -> DataFrame:
+    """(series_id, k, g, t0): the grid points of each series between its limits (series_id, t_min, t_max), as starts() sets them.
+
+    Points come from ranges of at most MAX_POINTS, which is checked where the plan runs.
+    """
+    step = checked_step(step_minutes)
+    out = starts(limits, step_minutes, offset_minutes, anchor).withColumn("_n", floor_div("t_max - t0", step) + 1)
     out = out.withColumn("_n", F.when(F.col("_n") <= MAX_POINTS, F.col("_n")).otherwise(F.raise_error(F.lit("the time grid is too large"))))
     # chunks of 4096 points first, so that no row holds a whole grid
     chunk = F.explode(F.expr("sequence(0L, (_n - 1) div 4096)"))

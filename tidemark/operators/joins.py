@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.ordered import KEY, numbered
+
+#: Row positions that one task numbers.
+STRETCH = 100_000
+
 
 def pair_by_time(x: DataFrame, y: DataFrame, by: list[str] = ("ts",)) -> DataFrame:
     """(by, x, y): rows of y with the last x of the same key; rows of y that repeat a key all stay.
@@ -16,11 +21,12 @@ def pair_by_time(x: DataFrame, y: DataFrame, by: list[str] = ("ts",)) -> DataFra
 
 
 def pair_by_row(x: DataFrame, y: DataFrame, by: str) -> DataFrame:
-    """Rows paired by their places within a key (parity with files read side by side)."""
-    w = Window.partitionBy(by).orderBy("row_pos")
-    a = x.select(by, F.col("value").alias("x"), F.row_number().over(w).alias("n"))
-    b = y.select(by, F.col("value").alias("y"), F.row_number().over(w).alias("n"))
-    return a.join(b, [by, "n"])
+    """Rows paired by their places within a key (parity with files read side by side).
+
+    Places are counted within stretches of STRETCH row positions, so rows of one key aren't one task's.
+    """
+    placed = lambda df, name: numbered(df.select(by, "row_pos", F.col("value").alias(name), F.floor(F.col("row_pos") / STRETCH).alias(KEY)), "n", ["row_pos"], by).select(by, "n", name)
+    return placed(x, "x").join(placed(y, "y"), [by, "n"])
 
 
 def align(a: DataFrame, b: DataFrame, by: list[str]) -> DataFrame:

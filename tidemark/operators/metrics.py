@@ -64,3 +64,14 @@ def distribution(df: DataFrame, by: str, value: str) -> DataFrame:
     """Exact quartiles and extremes of each group."""
     q = F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
     return df.groupBy(by).agg(q.alias("_q"), F.min(value).alias("low"), F.max(value).alias("high")).select(by, "low", F.col("_q")[0].alias("q25"), F.col("_q")[1].alias("q50"), F.col("_q")[2].alias("q75"), "high")
+
+
+# The names of the error columns, by metric.
+TABLE_NAMES = {"mae": "MAE", "mape": "MAPE", "mse": "MSE", "rmse": "RMSE", "nrmse": "NRMSE", "wape": "WAPE", "smape": "sMAPE", "mase": "MASE"}
+
+
+def evaluation_table(levels: DataFrame, step_minutes: float) -> DataFrame:
+    """(feature, delta_min, metric, value): one row a metric and averaging level, of evaluate() over averaged_levels()."""
+    known = [k for k in TABLE_NAMES if k in levels.columns]
+    pair = F.explode(F.array(*[F.struct(F.lit(TABLE_NAMES[k]).alias("metric"), F.col(k).alias("value")) for k in known]))
+    return levels.select("feature", (F.col("level") * step_minutes).alias("delta_min"), pair.alias("_p")).select("feature", "delta_min", "_p.metric", "_p.value")

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalar import ceil_div, floor_div, round_even
-from tidemark.operators.grid import bounds, checked_step, grid
+from tidemark.operators.grid import bounds, checked_step, grid, starts
 from tidemark.operators.ordered import asof
 
 METHODS = ("none", "mean", "intrpl", "nearest", "nearest (mean)", "nearest (max. delta)")
@@ -43,22 +43,26 @@ def first_per_time(series: DataFrame) -> DataFrame:
     return series.groupBy("series_id", "ts").agg(row.alias("_row")).select("series_id", "ts", "_row.value", "_row.row_pos")
 
 
-def time_grid(series: DataFrame, spec: RegridSpec) -> DataFrame:
+def _limits(series: DataFrame, spec: RegridSpec) -> DataFrame:
     limits = bounds(series)
     if spec.start is not None:
         limits = limits.withColumn("t_min", F.unix_seconds(F.lit(spec.start).cast("timestamp")))
     if spec.end is not None:
         limits = limits.withColumn("t_max", F.unix_seconds(F.lit(spec.end).cast("timestamp")))
-    return grid(limits, spec.step, spec.offset, spec.anchor)
+    return limits
+
+
+def time_grid(series: DataFrame, spec: RegridSpec) -> DataFrame:
+    return grid(_limits(series, spec), spec.step, spec.offset, spec.anchor)
 
 
-def _in_windows(series: DataFrame, points: DataFrame, spec: RegridSpec) -> DataFrame:
+def _in_windows(series: DataFrame, spec: RegridSpec) -> DataFrame:
     step = checked_step(spec.step)
     half = int(spec.step * 30)
-    starts = points.groupBy("series_id").agg(F.first("t0").alias("t0"))
+    first = starts(_limits(series, spec), spec.step, spec.offset, spec.anchor).select("series_id", "t0")
     known = first_per_time(series.where("value is not null"))
     return (
-        known.join(starts, "series_id")
+        known.join(first, "series_id")
         .withColumn("t", F.unix_seconds("ts"))
         .withColumn("k", F.explode(F.sequence(ceil_div(f"t - t0 - {half}", step), floor_div(f"t - t0 + {half}", step), F.lit(1).cast("long"))))
         .where(F.col("k") * step + F.col("t0") >= F.col("t") - half)
@@ -67,7 +71,7 @@ def _in_windows(series: DataFrame, points: DataFrame, spec: RegridSpec) -> DataF
 
 
 def _windowed(series: DataFrame, points: DataFrame, spec: RegridSpec) -> DataFrame:
-    rows = _in_windows(series, points, spec)
+    rows = _in_windows(series, spec)
     if spec.method == "mean":
         best = rows.groupBy("series_id", "k").agg(F.avg("value").alias("value"))
     elif spec.method == "nearest":

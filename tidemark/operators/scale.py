@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.ordered import bucketed, numbered
+from tidemark.operators.setops import shuffled
 
 
 def fit(df: DataFrame, feature: str = "feature", value: str = "value", low: float = 0.0, high: float = 1.0) -> DataFrame:
@@ -45,6 +46,25 @@ def split_in_order(series: DataFrame, train: float = 0.7, validate: float = 0.2)
 
 
 def split_by_hash(df: DataFrame, key: str, train: float = 0.7, validate: float = 0.2, seed: int = 42) -> DataFrame:
-    """Adds split at random, but the same at every run: by a hash of the key."""
-    u = F.pmod(F.xxhash64(F.lit(seed), key), F.lit(1 << 30)) / float(1 << 30)
-    return df.withColumn("split", F.when(u < train, "train").when(u < train + validate, "val").otherwise("test"))
+    """Adds split at random, but the same at every run: by a hash of seed and key."""
+    u = F.substring(shuffled(key, seed), 1, 7)
+    bound = lambda share: F.lit(f"{round(share * 16**7):07x}" if share < 1 else "g")
+    return df.withColumn("split", F.when(u < bound(train), "train").when(u < bound(train + validate), "val").otherwise("test"))
+
+
+def scale_rows(files: DataFrame, calendar: dict[str, tuple[bool, bool, float, float]]) -> DataFrame:
+    """(place, feature, scaled, high, low) of all input columns: the files' own, then those of the calendar.
+
+    files: (place, feature, scaled, high, low); calendar: by component (Y, M, W, D, H) whether it is used and scaled,
+    and its bounds; each has two rows.
+    """
+    spark, n = files.sparkSession, files.agg(F.max("place")).first()[0] or 0
+    used = [(f"{k}_{part}", *calendar[k][1:]) for k in ("Y", "M", "W", "D", "H") if calendar.get(k, (False,))[0] for part in ("sin", "cos")]
+    rows = [(n + 1 + i, name, scaled, float(high), float(low)) for i, (name, scaled, high, low) in enumerate(used)]
+    own = files.select(F.col("place").cast("int"), "feature", "scaled", F.col("high").cast("double"), F.col("low").cast("double"))
+    return own.unionAll(spark.createDataFrame(rows, "place int, feature string, scaled boolean, high double, low double"))
+
+
+def feature_names(files: list[str], calendar: set[str]) -> list[str]:
+    """Names of the input columns in order: the files, then sine and cosine of each component used, H alone."""
+    return [*files, *(f"{k}_{part}" for k in ("Y", "M", "W", "D") if k in calendar for part in ("sin", "cos")), *(["H"] if "H" in calendar else [])]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -34,8 +34,23 @@ def raise_to(df: DataFrame, column: str, least) -> DataFrame:
 
 
 def sample(df: DataFrame, n: int, key: str, seed: int = 42) -> DataFrame:
-    """n rows without replacement, by a hash of the key: the same rows at every run."""
-    return df.orderBy(F.xxhash64(F.lit(seed), key), key).limit(n)
+    """n rows without replacement, by a hash of seed and key: the same rows at every run."""
+    return df.orderBy(shuffled(key, seed), key).limit(n)
+
+
+def shuffled(key: str, seed: int = 42) -> Column:
+    """32 hexadecimal digits by which rows are in a random order, the same at every run."""
+    return F.md5(F.concat_ws(":", F.lit(seed), F.col(key).cast("string")))
+
+
+def permuted(df: DataFrame, key: str, seed: int = 42) -> DataFrame:
+    """All rows in a random order, the same at every run."""
+    return df.orderBy(shuffled(key, seed), key)
+
+
+def in_both(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Rows that both have, each once; nulls are equal here."""
+    return a.intersect(b)
 
 
 def top(df: DataFrame, n: int, *order) -> DataFrame:

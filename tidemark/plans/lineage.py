@@ -8,12 +8,15 @@ from pyspark.sql import DataFrame
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df.checkpoint() in the folder that spark.checkpoint.dir names; a temporary one where that is unset (local tests).
+    """df.checkpoint() in the folder that spark.checkpoint.dir names; a local master without one gets a temporary one.
 
     Operators that look at a row's neighbours read their input twice, so a chain of them grows as a power of two
     unless it is cut.
     """
     spark = df.sparkSession
     if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemark-"))
+        at = spark.conf.get("spark.checkpoint.dir", None)
+        if not at and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(at or tempfile.mkdtemp(prefix="tidemark-"))
     return df.checkpoint()

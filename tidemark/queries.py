@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import calendar, scalar
@@ -45,7 +45,7 @@ def us(c: str = "ts"):
 S = "s AS (SELECT event_type AS series_id, ts, epoch_us(ts) AS u, epoch_us(ts) // 1000000 AS t, value, event_id AS row_pos FROM events)"
 N = f"s AS (SELECT event_type AS series_id, ts, epoch_us(ts) AS u, epoch_us(ts) // 1000000 AS t, CASE WHEN event_id % {MISSING} != 0 THEN value END AS value, event_id AS row_pos FROM events)"
 D = "d AS (SELECT series_id, t, arg_min(value, row_pos) AS value FROM s WHERE value IS NOT NULL GROUP BY ALL)"
-E = "d AS (SELECT series_id, t, arg_min(value, row_pos) AS value FROM s WHERE value IS NOT NULL GROUP BY series_id, ts, t)"
+E = "d AS (SELECT series_id, ts, t, arg_min(value, row_pos) AS value FROM s WHERE value IS NOT NULL GROUP BY series_id, ts, t)"
 #: Grid of a step of an hour and an offset of 10 minutes, as RegridSpec(step=60, offset=10).
 G = """lim AS (SELECT series_id, min(t) AS lo, max(t) AS hi FROM s GROUP BY 1),
 g0 AS (SELECT series_id, hi, lo - lo % 3600 + 600 AS b, lo FROM lim),
@@ -56,6 +56,16 @@ PN = """p AS (SELECT g.series_id, g.g, d.t AS tp, d.value AS vp FROM g ASOF LEFT
 pn AS (SELECT p.*, d.t AS tn, d.value AS vn FROM p ASOF LEFT JOIN d ON p.series_id = d.series_id AND p.g <= d.t)"""
 
 
+def ranked(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """Adds the place of each row in the whole order: partitions of a range sort are numbered side by side."""
+    rows = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
+    at = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    before = F.sum("n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))  # a row a partition
+    rows = rows.withColumn("_at", at)
+    sizes = rows.groupBy("_part").agg(F.count("*").alias("n")).select("_part", F.coalesce(before, F.lit(0)).alias("_before"))
+    return rows.join(F.broadcast(sizes), "_part").withColumn(name, F.col("_at") + F.col("_before")).drop("_part", "_at", "_before")
+
+
 def grid_out(df: DataFrame) -> DataFrame:
     return df.select("series_id", F.unix_seconds("ts").alias("g"), r6("value").alias("value"))
 
@@ -114,7 +124,7 @@ def regrid_intrpl(spark, sf_dir):
     return grid_out(regrid(event_series(spark, sf_dir, MISSING), RegridSpec("intrpl", **SPEC)))
 
 
-@query(f"""WITH {S}, {E}, {G}, j AS (SELECT g.series_id, g.g, d.value, row_number() OVER (PARTITION BY g.series_id, g.g ORDER BY abs(d.t - g.g), d.t) AS k
+@query(f"""WITH {S}, {E}, {G}, j AS (SELECT g.series_id, g.g, d.value, row_number() OVER (PARTITION BY g.series_id, g.g ORDER BY abs(d.t - g.g), d.ts) AS k
  FROM g LEFT JOIN d ON d.series_id = g.series_id AND d.t BETWEEN g.g - 1800 AND g.g + 1800) SELECT series_id, g, round(value, 6) AS value FROM j WHERE k = 1""")
 def regrid_nearest(spark, sf_dir):
     return grid_out(regrid(event_series(spark, sf_dir), RegridSpec("nearest", **SPEC)))
@@ -136,10 +146,10 @@ def regrid_none(spark, sf_dir):
     return grid_out(regrid(event_series(spark, sf_dir), RegridSpec("none", **SPEC)))
 
 
-@query("""WITH a(anchor, start) AS (SELECT o_orderkey * 60 % 86400, o_custkey * 61 % 86400 FROM orders WHERE o_orderkey % 10 = 0)
+@query("""WITH a(anchor, start) AS (SELECT o_orderkey * 60 % 86400, o_custkey * 61 % 86400 FROM orders)
  SELECT anchor, start, CASE WHEN anchor >= start THEN anchor - (anchor - start) // 420 * 420 ELSE anchor + (start - anchor) // 420 * 420 END AS grid_start FROM a""")
 def grid_anchor(spark, sf_dir):
-    rows = table(spark, sf_dir, "orders").where("o_orderkey % 10 = 0").selectExpr("o_orderkey * 60 % 86400 as anchor", "o_custkey * 61 % 86400 as start")
+    rows = table(spark, sf_dir, "orders").selectExpr("o_orderkey * 60 % 86400 as anchor", "o_custkey * 61 % 86400 as start")
     return rows.withColumn("grid_start", anchor_start("anchor", "start", 420))
 
 
@@ -344,10 +354,10 @@ def file_pairs(spark, sf_dir):
     return joins.file_pairs(n.where("n_regionkey = 0"), n.where("n_regionkey = 1"))
 
 
-@query(f"WITH {N}, a AS (SELECT series_id, u, value FROM s WHERE row_pos < 5000), b AS (SELECT series_id, u, value FROM s WHERE row_pos >= 3000) SELECT series_id, u, round(value, 6) AS value FROM (SELECT * FROM a UNION SELECT * FROM b)")
+@query(f"WITH {N}, a AS (SELECT series_id, u, value FROM s WHERE row_pos % 3 != 2), b AS (SELECT series_id, u, value FROM s WHERE row_pos % 3 != 0) SELECT series_id, u, round(value, 6) AS value FROM (SELECT * FROM a UNION SELECT * FROM b)")
 def union_dedup_sort(spark, sf_dir):
     s = event_series(spark, sf_dir, MISSING)
-    out = setops.merge(s.where("row_pos < 5000").drop("row_pos"), s.where("row_pos >= 3000").drop("row_pos"))
+    out = setops.merge(s.where("row_pos % 3 != 2").drop("row_pos"), s.where("row_pos % 3 != 0").drop("row_pos"))
     return out.select("series_id", us().alias("u"), r6("value").alias("value")).orderBy("u")
 
 
@@ -380,11 +390,23 @@ def top_k(spark, sf_dir):
     return setops.top(table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), 25, F.desc("o_totalprice"), "o_orderkey")
 
 
-@query()
+@query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY md5('42:' || o_orderkey), o_orderkey LIMIT 200")
 def reservoir(spark, sf_dir):
     return setops.sample(table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), 200, "o_orderkey")
 
 
+@query("SELECT o_orderkey, row_number() OVER (ORDER BY md5('42:' || o_orderkey), o_orderkey) AS place FROM orders")
+def permutation(spark, sf_dir):
+    out = setops.permuted(table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey")
+    return ranked(out.withColumn("_h", setops.shuffled("o_orderkey")), ["_h", "o_orderkey"], "place").select("o_orderkey", "place")
+
+
+@query("SELECT DISTINCT l_suppkey AS k FROM lineitem WHERE l_quantity > 45 INTERSECT SELECT s_suppkey FROM supplier WHERE s_acctbal > 0")
+def intersect_rows(spark, sf_dir):
+    a = table(spark, sf_dir, "lineitem").where("l_quantity > 45").select(F.col("l_suppkey").alias("k"))
+    return setops.in_both(a, table(spark, sf_dir, "supplier").where("s_acctbal > 0").select(F.col("s_suppkey").alias("k")))
+
+
 @query("SELECT o_custkey, o_orderkey, o_totalprice FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS k FROM orders) WHERE k = 1")
 def newest_per_key(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_totalprice", "o_orderdate")
@@ -401,6 +423,12 @@ def linreg_tolerance(spark, sf_dir):
     return regression.linear(regression.usable(p), "dep", 1000, 0.1).select("l_orderkey", "l_linenumber", F.round("y_hat", 4).alias("y_hat"), "inside")
 
 
+@query(f"""WITH {XY}, f AS (SELECT regr_slope(y, x) AS a, regr_intercept(y, x) AS b FROM xy) SELECT row_number() OVER (ORDER BY x, epoch_us(ts)) AS place, round(x, 6) AS x, round(a * x + b, 4) AS y_hat FROM xy, f""")
+def linreg_by_x(spark, sf_dir):
+    out = regression.linear(regression.usable(_pairs(spark, sf_dir)), "cnt", 20)
+    return ranked(out, ["x", "ts"], "place").select("place", r6("x").alias("x"), F.round("y_hat", 4).alias("y_hat")).orderBy("place")
+
+
 @query(f"""WITH {XY}, m AS (SELECT avg(x) AS mx FROM xy), z AS (SELECT ts, x, y, x - mx AS c FROM xy, m),
  q AS (SELECT count(*) AS s0, sum(c) AS s1, sum(c*c) AS s2, sum(c*c*c) AS s3, sum(c*c*c*c) AS s4, sum(y) AS t0, sum(c*y) AS t1, sum(c*c*y) AS t2 FROM z),
  d AS (SELECT *, s4*(s2*s0-s1*s1) - s3*(s3*s0-s1*s2) + s2*(s3*s1-s2*s2) AS det FROM q),
@@ -468,19 +496,59 @@ def window_avg(spark, sf_dir):
     return out.select(us("utc_ref").alias("utc_ref"), F.col("step").cast("long").alias("step"), r6("value").alias("value"))
 
 
-@query()
+@query(f"""{_WINDOW}, st AS (SELECT r, f, k AS step, r + (k - 3) * 3600000000 AS u FROM ref, range(4) t(k), (VALUES ('click'), ('view')) x(f)),
+ p AS (SELECT st.*, e.u AS tp, e.v AS vp FROM st ASOF LEFT JOIN e ON st.f = e.f AND st.u >= e.u), n AS (SELECT p.*, e.u AS tn, e.v AS vn FROM p ASOF LEFT JOIN e ON p.f = e.f AND p.u <= e.u),
+ v AS (SELECT r, f, step, CASE WHEN tp = tn THEN vp ELSE vp + (vn - vp) * ((u - tp) / (tn - tp)) END AS value FROM n)
+ SELECT r AS utc_ref, step, round(max(CASE WHEN f = 'click' THEN value END)::FLOAT, 3) AS click, round(max(CASE WHEN f = 'view' THEN value END)::FLOAT, 3) AS view FROM v WHERE r IN (SELECT r FROM v GROUP BY 1 HAVING count(value) = 8) GROUP BY ALL""")
 def sample_tensors(spark, sf_dir):
     h = [windows.Horizon("click", -3, 0, 4), windows.Horizon("view", -3, 0, 4)]
-    return windows.samples(windows.long_windows(event_series(spark, sf_dir), _refs(spark, sf_dir), h), h).select(us("utc_ref").alias("utc_ref"), "x")
+    out = windows.samples(windows.long_windows(event_series(spark, sf_dir), _refs(spark, sf_dir), h), h)
+    rows = out.select(us("utc_ref").alias("utc_ref"), F.posexplode("x").alias("step", "_v"))
+    return rows.select("utc_ref", F.col("step").cast("long").alias("step"), F.round(F.col("_v")[0], 3).alias("click"), F.round(F.col("_v")[1], 3).alias("view"))
 
 
-@query(f"""WITH {S}, n AS (SELECT series_id, value, row_number() OVER (PARTITION BY series_id ORDER BY ts, row_pos) AS i FROM s)
- SELECT a.series_id, a.i, round(a.value, 6) AS x1, round(b.value, 6) AS x2, round(c.value, 6) AS x3, round(d.value, 6) AS y FROM n a JOIN n b ON b.series_id = a.series_id AND b.i = a.i + 1 JOIN n c ON c.series_id = a.series_id AND c.i = a.i + 2 JOIN n d ON d.series_id = a.series_id AND d.i = a.i + 3""")
+@query(f"""WITH {S}, n AS (SELECT series_id, row_number() OVER w AS i, value AS x1, lead(value, 1) OVER w AS x2, lead(value, 2) OVER w AS x3, lead(value, 3) OVER w AS y, lead(row_pos, 3) OVER w AS last FROM s WINDOW w AS (PARTITION BY series_id ORDER BY ts, row_pos))
+ SELECT series_id, i, round(x1, 6) AS x1, round(x2, 6) AS x2, round(x3, 6) AS x3, round(y, 6) AS y FROM n WHERE last IS NOT NULL""")
 def sliding_sequences(spark, sf_dir):
     out = windows.sliding(event_series(spark, sf_dir), 3)
     return out.select("series_id", "i", *[r6(F.col("x")[k]).alias(f"x{k + 1}") for k in range(3)], r6("y").alias("y"))
 
 
+@query(f"""WITH {S}, n AS (SELECT series_id, row_number() OVER w AS i, value AS x1, lead(value, 1) OVER w AS x2, lead(value, 2) OVER w AS y1, lead(value, 3) OVER w AS y2, lead(value, 4) OVER w AS y3, lead(row_pos, 4) OVER w AS last FROM s WINDOW w AS (PARTITION BY series_id ORDER BY ts, row_pos))
+ SELECT series_id, i, round(x1, 6) AS x1, round(x2, 6) AS x2, round(y1, 6) AS y1, round(y2, 6) AS y2, round(y3, 6) AS y3 FROM n WHERE last IS NOT NULL""")
+def in_out_windows(spark, sf_dir):
+    out = windows.sliding(event_series(spark, sf_dir), 2, 3)
+    return out.select("series_id", "i", *[r6(F.col("x")[k]).alias(f"x{k + 1}") for k in range(2)], *[r6(F.col("y")[k]).alias(f"y{k + 1}") for k in range(3)])
+
+
+_NEXT = [windows.Horizon("click", 0, 2, 3, "nearest")]
+
+
+@query(f"""{_WINDOW}, st AS (SELECT r, f, k AS step, r + (k - d) * 3600000000 AS u FROM ref, (SELECT unnest([0, 1, 2]) AS k, 2 AS d, 'view' AS f UNION ALL SELECT unnest([0, 1, 2]), 0, 'click') t),
+ p AS (SELECT st.*, e.u AS tp, e.v AS vp FROM st ASOF LEFT JOIN e ON st.f = e.f AND st.u >= e.u), n AS (SELECT p.*, e.u AS tn, e.v AS vn FROM p ASOF LEFT JOIN e ON p.f = e.f AND p.u <= e.u),
+ v AS (SELECT r, f, step, CASE WHEN tn IS NOT NULL THEN vn ELSE vp END AS value FROM n)
+ SELECT r AS utc_ref, step, round(max(CASE WHEN f = 'view' THEN value END)::FLOAT, 3) AS x, round(max(CASE WHEN f = 'click' THEN value END)::FLOAT, 3) AS y FROM v WHERE r IN (SELECT r FROM v GROUP BY 1 HAVING count(value) = 6) GROUP BY ALL""")
+def xy_pairs(spark, sf_dir):
+    out = windows.pairs(event_series(spark, sf_dir), _refs(spark, sf_dir), [windows.Horizon("view", -2, 0, 3, "nearest")], _NEXT)
+    both = out.select(us("utc_ref").alias("utc_ref"), F.posexplode(F.arrays_zip("x", "y")).alias("step", "_v"))
+    return both.select("utc_ref", F.col("step").cast("long").alias("step"), *[F.round(F.col(f"_v.{c}")[0], 3).alias(c) for c in ("x", "y")])
+
+
+@query("""WITH f AS (SELECT CAST(n_nationkey + 1 AS INTEGER) AS place, n_name AS feature, n_nationkey % 2 = 0 AS scaled, 1.0::DOUBLE AS high, 0.0::DOUBLE AS low FROM nation), m AS (SELECT max(place) AS n FROM f)
+ SELECT * FROM f UNION ALL SELECT CAST(n + k AS INTEGER), c, s, 1.0, CASE WHEN k < 5 THEN 0.0 ELSE -1.0 END FROM m, (VALUES (1, 'Y_sin', true), (2, 'Y_cos', true), (3, 'D_sin', false), (4, 'D_cos', false), (5, 'H_sin', true), (6, 'H_cos', true)) t(k, c, s)""")
+def scale_list(spark, sf_dir):
+    n = table(spark, sf_dir, "nation").select((F.col("n_nationkey") + 1).alias("place"), F.col("n_name").alias("feature"), (F.col("n_nationkey") % 2 == 0).alias("scaled"), F.lit(1.0).alias("high"), F.lit(0.0).alias("low"))
+    return scale.scale_rows(n, {"Y": (True, True, 1, 0), "M": (False, True, 1, 0), "D": (True, False, 1, 0), "H": (True, True, 1, -1)})
+
+
+@query(f"""{_WINDOW} SELECT r AS utc_ref, k AS step, m AS mode, round(sin((r + CASE WHEN m = 'horizon' THEN (k - 2) * 3600000000 ELSE 0 END) / 1e6 / 86400 * 2 * pi()), 6) AS d_sin FROM ref, range(3) t(k), (VALUES ('horizon'), ('current')) x(m)""")
+def calendar_steps(spark, sf_dir):
+    h = windows.Horizon("view", -2, 0, 3)
+    both = [windows.calendar_steps(_refs(spark, sf_dir), h, over).withColumn("mode", F.lit(m)) for over, m in ((True, "horizon"), (False, "current"))]
+    out = both[0].unionByName(both[1])
+    return out.select(us("utc_ref").alias("utc_ref"), F.col("step").cast("long").alias("step"), "mode", r6(calendar.cyclic(F.col("ts"), "D")[0]).alias("d_sin"))
+
+
 def _features(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_returnflag").alias("feature"), F.col("l_extendedprice").alias("value"))
 
@@ -504,18 +572,18 @@ def split_70_20_10(spark, sf_dir):
     return scale.split_in_order(event_series(spark, sf_dir)).select("series_id", "row_pos", "split")
 
 
-@query()
+@query("WITH h AS (SELECT o_orderkey, substr(md5('42:' || o_orderkey), 1, 7) AS u FROM orders) SELECT o_orderkey, CASE WHEN u < 'b333333' THEN 'train' WHEN u < 'e666666' THEN 'val' ELSE 'test' END AS split FROM h")
 def split_random(spark, sf_dir):
     return scale.split_by_hash(table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey")
 
 
 def _predictions(spark, sf_dir):
-    return table(spark, sf_dir, "lineitem").where("l_linenumber <= 4").select(
+    return table(spark, sf_dir, "lineitem").select(
         F.col("l_orderkey").alias("sample_id"), F.lit("price").alias("feature"), (F.col("l_linenumber") - 1).alias("step"), F.col("l_extendedprice").alias("y_true"), (F.col("l_quantity") * 1500).alias("y_pred")
     )
 
 
-P = "p AS (SELECT l_orderkey AS sample_id, 'price' AS feature, l_linenumber - 1 AS step, l_extendedprice AS y, l_quantity * 1500 AS q FROM lineitem WHERE l_linenumber <= 4)"
+P = "p AS (SELECT l_orderkey AS sample_id, 'price' AS feature, l_linenumber - 1 AS step, l_extendedprice AS y, l_quantity * 1500 AS q FROM lineitem)"
 M = """round(avg(abs(y - q)), 4) AS mae, round(sqrt(avg((y - q) * (y - q))), 4) AS rmse, round(avg(abs((y - q) / y)) * 100, 6) AS mape, round(sqrt(avg((y - q) * (y - q))) / (max(y) - min(y)), 6) AS nrmse,
  round(sum(abs(y - q)) / sum(abs(y)) * 100, 6) AS wape, round(avg(2 * abs(y - q) / (abs(y) + abs(q))) * 100, 6) AS smape"""
 
@@ -535,9 +603,16 @@ def metrics_per_step(spark, sf_dir):
     return _metrics(metrics.evaluate(_predictions(spark, sf_dir), ["feature", "step"]), "feature", "step")
 
 
-@query(f"""WITH {P}, a AS (SELECT sample_id, feature, k AS level, step // k AS block, avg(y) AS y, avg(q) AS q FROM p, range(1, 5) t(k) WHERE step // k < 4 // k GROUP BY ALL) SELECT feature, CAST(level AS INTEGER) AS level, {M} FROM a GROUP BY ALL""")
+@query(f"""WITH {P}, a AS (SELECT sample_id, feature, k AS level, step // k AS block, avg(y) AS y, avg(q) AS q FROM p, range(1, 8) t(k) WHERE step // k < 7 // k GROUP BY ALL) SELECT feature, CAST(level AS INTEGER) AS level, {M} FROM a GROUP BY ALL""")
 def metrics_levels(spark, sf_dir):
-    return _metrics(metrics.evaluate(metrics.averaged_levels(_predictions(spark, sf_dir), 4, 4), ["feature", "level"]), "feature", "level")
+    return _metrics(metrics.evaluate(metrics.averaged_levels(_predictions(spark, sf_dir), 7, 7), ["feature", "level"]), "feature", "level")
+
+
+@query(f"""WITH {P}, a AS (SELECT sample_id, feature, k AS level, step // k AS block, avg(y) AS y, avg(q) AS q FROM p, range(1, 8) t(k) WHERE step // k < 7 // k GROUP BY ALL), e AS (SELECT feature, level * 15 AS delta_min, {M} FROM a GROUP BY feature, level)
+ SELECT feature, CAST(delta_min AS INTEGER) AS delta_min, unnest(['MAE', 'MAPE', 'RMSE']) AS metric, unnest([mae, round(mape, 4), rmse]) AS value FROM e""")
+def evaluation_tables(spark, sf_dir):
+    out = metrics.evaluation_table(metrics.evaluate(metrics.averaged_levels(_predictions(spark, sf_dir), 7, 7), ["feature", "level"]), 15)
+    return out.where("metric in ('MAE', 'MAPE', 'RMSE')").select("feature", "delta_min", "metric", F.round("value", 4).alias("value"))
 
 
 @query("""WITH m AS (SELECT s_nationkey AS metric, s_name AS model, s_acctbal AS value FROM supplier) SELECT metric, arg_min(model, value) AS best_model, min(value) AS best_value FROM m GROUP BY 1""")
@@ -557,11 +632,33 @@ def residuals(spark, sf_dir):
     return metrics.residuals(_predictions(spark, sf_dir)).select("sample_id", "step", r6("residual").alias("residual"))
 
 
-@query()
+_LINEAR = """r AS (SELECT l_orderkey AS sample_id, l_linenumber - 1 AS step, l_quantity AS q, l_discount AS d, (l_linenumber - 1)::DOUBLE AS s, l_extendedprice AS y, substr(md5('42:' || l_orderkey), 1, 7) AS u FROM lineitem),
+ c AS (SELECT var_pop(q) AS qq, var_pop(d) AS dd, var_pop(s) AS ss, covar_pop(q, d) AS qd, covar_pop(q, s) AS qs, covar_pop(d, s) AS ds, covar_pop(q, y) AS qy, covar_pop(d, y) AS dy, covar_pop(s, y) AS sy, avg(q) AS mq, avg(d) AS md, avg(s) AS ms, avg(y) AS my FROM r WHERE u < 'b333333'),
+ k AS (SELECT *, qq * (dd * ss - ds * ds) - qd * (qd * ss - ds * qs) + qs * (qd * ds - dd * qs) AS det FROM c),
+ w AS (SELECT mq, md, ms, my, (qy * (dd * ss - ds * ds) - qd * (dy * ss - ds * sy) + qs * (dy * ds - dd * sy)) / det AS a, (qq * (dy * ss - ds * sy) - qy * (qd * ss - ds * qs) + qs * (qd * sy - dy * qs)) / det AS b, (qq * (dd * sy - dy * ds) - qd * (qd * sy - dy * qs) + qy * (qd * ds - dd * qs)) / det AS e FROM k),
+ o AS (SELECT sample_id, step, CASE WHEN u < 'e666666' THEN 'val' ELSE 'test' END AS split, my + a * (q - mq) + b * (d - md) + e * (s - ms) AS p FROM r, w WHERE u >= 'b333333')"""
+
+
+@query(f"WITH {_LINEAR} SELECT sample_id, step, split, round(p, 1) AS y_pred FROM o")
 def linear_model(spark, sf_dir):
     df = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("sample_id"), (F.col("l_linenumber") - 1).alias("step"), "l_quantity", "l_discount", F.col("l_extendedprice").alias("y"))
     out = models.train_and_predict(scale.split_by_hash(df, "sample_id"), ["l_quantity", "l_discount"], models.make("LIN"))
-    return out.select("sample_id", "step", "split", F.round("y_pred", 3).alias("y_pred"))
+    return out.select("sample_id", "step", "split", F.round("y_pred", 1).alias("y_pred"))
+
+
+@query(f"WITH {_LINEAR} SELECT sample_id, step, round(p, 1) AS y_pred FROM o")
+def predict_scaled(spark, sf_dir):
+    df = scale.split_by_hash(table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("sample_id"), (F.col("l_linenumber") - 1).alias("step"), "l_quantity", "l_discount", F.col("l_extendedprice").alias("y")), "sample_id")
+    train, names = df.where("split = 'train'"), ["l_quantity", "l_discount"]
+    long = lambda c: train.select(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value"))
+    scaler_in, scaler_out = scale.fit(long("l_quantity").unionAll(long("l_discount"))), scale.fit(long("y"))
+    scaled = train.withColumn("feature", F.lit("y"))
+    scaled = scale.transform(scaled, scaler_out, value="y")
+    for c in names:
+        scaled = scale.transform(scaled.withColumn("feature", F.lit(c)), scaler_in, value=c)
+    model = models.make("LIN").fit(scaled, names)
+    out = forecast.predicted(df.where("split != 'train'"), model, scaler_in, scaler_out, names, "y")
+    return out.select("sample_id", "step", F.round("y_pred", 1).alias("y_pred"))
 
 
 @query()
@@ -659,6 +756,14 @@ def retention_action(spark, sf_dir):
     return accounts.retention_actions(subs, a.unionAll(b), now).drop("deletion_date")
 
 
+@query("SELECT p_partkey, CASE WHEN p_size % 4 != 0 THEN p_size % 4 WHEN p_partkey % 4 = 1 THEN 5 WHEN p_partkey % 4 = 2 THEN -1 ELSE 0 END AS max_runs FROM part")
+def plan_limits(spark, sf_dir):
+    k = F.col("p_partkey") % 4
+    name = F.when(k == 0, "Free").when(k == 1, "Pro").when(k == 2, "Enterprise").otherwise("Other")
+    limit = F.when(F.col("p_size") % 4 != 0, F.col("p_size") % 4).when(F.col("p_partkey") % 2 == 0, 0)
+    return accounts.fill_training_limits(table(spark, sf_dir, "part").select("p_partkey", name.alias("name"), limit.alias("max_runs"))).select("p_partkey", "max_runs")
+
+
 @query("""WITH s AS (SELECT o_custkey AS user_id, o_orderdate AS ts FROM orders), l AS (SELECT user_id, max(ts) AS last_at FROM s WHERE user_id NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey % 9 = 0) GROUP BY 1)
  SELECT user_id, epoch_us(last_at) AS last_at FROM l WHERE date_diff('day', CAST(last_at AS DATE), DATE '2024-06-15') > 180""")
 def stale_users(spark, sf_dir):
@@ -697,6 +802,16 @@ def to_number(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", scalar.to_number(raw).alias("number"))
 
 
+@query("SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN NULL ELSE p_retailprice END AS load, CASE WHEN p_partkey % 3 = 0 THEN 'n/a' ELSE CAST(p_retailprice AS VARCHAR) END AS load_original FROM part")
+def keep_original(spark, sf_dir):
+    from tidemark.sources.text import pick_columns, with_original
+
+    raw = F.when(F.col("p_partkey") % 3 == 0, "n/a").otherwise(F.col("p_retailprice").cast("string"))
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("UTC"), raw.alias("load"))
+    name = pick_columns(rows.columns, ("load",))
+    return with_original(rows).select(F.col("UTC").alias("p_partkey"), name, f"{name}_original")
+
+
 @query("SELECT o_orderkey, epoch_us(date_trunc('minute', o_orderdate)) AS at FROM orders")
 def datetime_multi(spark, sf_dir):
     from tidemark.sources.text import TextSpec, standardise

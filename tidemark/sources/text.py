@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import csv
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -71,7 +72,7 @@ FORMATS = [
 
 @dataclass(frozen=True)
 class TextSpec:
-    """delimiter: None to detect it; time, date and value: 0-based columns; zone: of the times in the file."""
+    """delimiter, encoding: None to detect them; time, date and value: 0-based columns; zone: of the times in the file."""
 
     delimiter: str | None = None
     header: bool = True
@@ -80,7 +81,7 @@ class TextSpec:
     value: int = 1
     format: str | None = None
     zone: str = "UTC"
-    encoding: str = "UTF-8"
+    encoding: str | None = "UTF-8"
 
 
 def consistent_delimiter(lines: list[str]) -> str:
@@ -139,10 +140,56 @@ def read_strings(spark: SparkSession, path: str, delimiter: str, header: bool, e
     return out.toDF(*names)
 
 
-def detect_format(df: DataFrame, column: str, custom: str | None = None) -> str | None:
+def encoding_of(first: bytes) -> str:
+    """By a file's first bytes: what its byte order mark says; else UTF-8 if they can be read so, else Latin 1."""
+    marks = ((b"\xff\xfe", "UTF-16LE"), (b"\xfe\xff", "UTF-16BE"), (b"\xef\xbb\xbf", "UTF-8"))
+    for mark, name in marks:
+        if first.startswith(mark):
+            return name
+    try:
+        first[:-3].decode() if len(first) > 3 else first.decode()  # the cut may lie within a character
+    except UnicodeDecodeError as e:
+        return "UTF-8" if e.start >= len(first) - 6 and e.reason == "unexpected end of data" else "ISO-8859-1"
+    return "UTF-8"
+
+
+def detect_encoding(spark: SparkSession, path: str, lines: int = 50) -> str:
+    """The encoding of a text file, from its first lines."""
+    return encoding_of("\n".join(head(spark, path, lines, "ISO-8859-1")).encode("latin-1"))
+
+
+def pick_columns(names: list[str], terms: tuple[str, ...], time: str = "UTC") -> str:
+    """The first column whose name holds one of the terms in any case, else the first that isn't the time."""
+    found = [n for n in names if any(t in n.lower() for t in terms)] or [n for n in names if n != time]
+    if not found:
+        raise ValueError("there is no column beside the time")
+    return found[0]
+
+
+# What names of load columns hold.
+LOAD_TERMS = ("last", "load", "leistung", "kw", "w")
+
+
+def with_original(df: DataFrame, time: str = "UTC") -> DataFrame:
+    """Measurement columns as numbers, each with the text it came from beside it as <name>_original."""
+    names = [c for c in df.columns if c != time]
+    if not names:
+        raise ValueError("there is no measurement column")
+    return df.select(*[F.col(f"`{time}`")] * (time in df.columns), *[c for n in names for c in (to_number(F.col(f"`{n}`")).alias(n), F.col(f"`{n}`").alias(f"{n}_original"))])
+
+
+def safe_name(name: str) -> str:
+    """The last part of a path without control characters; ValueError if it is empty or climbs up."""
+    out = "".join(c for c in name.strip() if c.isprintable()).rpartition("/")[2]
+    if not out or ".." in out:
+        raise ValueError(f"{name!r} is no file name")
+    return out
+
+
+def detect_format(df: DataFrame, column: str, custom: str | None = None, cleaned: bool = False) -> str | None:
     """The first format by which any row of the column can be read: one aggregate over all formats."""
     formats = ([custom] if custom else []) + FORMATS
-    c = clean_time(F.col(column))
+    c = clean_time(F.col(column)) if cleaned else F.trim(column)
     row = df.agg(*[F.count(F.try_to_timestamp(c, F.lit(f))).alias(f"f{i}") for i, f in enumerate(formats)]).first()
     return next((f for i, f in enumerate(formats) if row[i]), None)
 
@@ -157,29 +204,43 @@ def standardise(df: DataFrame, spec: TextSpec, series_id: str = "series") -> Dat
     if spec.date is not None:
         time = date_and_time(F.col(f"`{names[spec.date]}`"), time)
     rows = df.select(time.alias("_time"), F.col(f"`{names[spec.value]}`").alias("_raw"), F.monotonically_increasing_id().alias("row_pos"))
-    fmt = detect_format(rows, "_time", spec.format)
+    joined = spec.date is not None  # only these are cleaned: a time in one column may end in AM or PM
+    fmt = detect_format(rows, "_time", spec.format, joined)
     if fmt is None:
         raise ValueError("no known format fits the time column")
-    ts: Column = F.try_to_timestamp(clean_time(F.col("_time")), F.lit(fmt))
+    ts: Column = F.try_to_timestamp(clean_time(F.col("_time")) if joined else F.trim("_time"), F.lit(fmt))
     if "xx" not in fmt and spec.zone != "UTC":
         ts = local_to_utc(ts, spec.zone)
     return rows.select(F.lit(series_id).alias("series_id"), ts.alias("ts"), to_number(F.col("_raw")).alias("value"), "row_pos").where("ts is not null")
 
 
 def read_series(spark: SparkSession, path: str, spec: TextSpec, series_id: str | None = None) -> DataFrame:
-    sample = head(spark, path, encoding=spec.encoding)
+    encoding = spec.encoding or detect_encoding(spark, path)
+    sample = head(spark, path, encoding=encoding)
     found = consistent_delimiter(sample)
     if spec.delimiter is not None and spec.delimiter != found:
         raise ValueError(f"the delimiter is {found!r}, not {spec.delimiter!r}")
-    return standardise(read_strings(spark, path, found, spec.header, spec.encoding), spec, series_id or path.rsplit("/", 1)[-1])
+    return standardise(read_strings(spark, path, found, spec.header, encoding), spec, series_id or path.rsplit("/", 1)[-1])
 
 
 def from_base64(df: DataFrame, column: str) -> DataFrame:
-    """The lines of base64-encoded text, one a row, trailing delimiters cut."""
+    """The lines of base64-encoded text, one a row, trailing delimiters cut; columns_of() splits them."""
     lines = F.split(F.decode(F.unbase64(column), "UTF-8"), "\r?\n")
     return df.select(F.explode(lines).alias("line")).where("line != ''").select(strip_trailing_delimiters(F.col("line"), ";").alias("line"))
 
 
+def columns_of(lines: DataFrame, names: list[str], delimiter: str = ";") -> DataFrame:
+    """Lines split at the delimiter into text columns; cells that a line lacks are null."""
+    cells = F.split("line", re.escape(delimiter), -1)
+    return lines.select(*[F.get(cells, F.lit(i)).alias(n) for i, n in enumerate(names)])
+
+
+def rows_of_files(spark: SparkSession, path: str) -> DataFrame:
+    """(file, n, bytes): data rows below the header, and the size, of each text file of a folder."""
+    lines = spark.read.text(path).select("_metadata.file_path", "_metadata.file_size", "value").where("value != ''")
+    return lines.groupBy(F.col("file_path").alias("file")).agg((F.count("*") - 1).alias("n"), F.first("file_size").alias("bytes"))
+
+
 def check_strict(series_rows: DataFrame, names: list[str], path: str, delimiter: str, fmt: str = "yyyy-MM-dd HH:mm:ss") -> None:
     """The eight checks of the strict format; ValueError names the first that fails.
 
