@@ -127,7 +127,14 @@ def unique_names(names: list[str]) -> list[str]:
 
 
 def head(spark: SparkSession, path: str, n: int = 5, encoding: str = "UTF-8") -> list[str]:
-    return [r[0] for r in spark.read.option("encoding", encoding).text(path).limit(n).collect()]
+    """The first lines of a text file, without a byte order mark."""
+    return raw_head(spark, path, n).decode(encoding, "ignore").lstrip("\ufeff").splitlines()[:n]
+
+
+def raw_head(spark: SparkSession, path: str, n: int) -> bytes:
+    """The bytes of the first lines, whatever they are encoded in."""
+    rows = spark.read.text(path).select(F.col("value").cast("binary")).limit(n).collect()
+    return b"\n".join(bytes(r[0]) for r in rows)
 
 
 def read_strings(spark: SparkSession, path: str, delimiter: str, header: bool, encoding: str = "UTF-8") -> DataFrame:
@@ -136,7 +143,8 @@ def read_strings(spark: SparkSession, path: str, delimiter: str, header: bool, e
     cells = next(csv.reader(first, delimiter=delimiter)) if first else []
     names = unique_names([c.strip() for c in cells]) if header else [str(i) for i in range(len(cells))]
     schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(names))])
-    out = spark.read.csv(path, schema=schema, sep=delimiter, header=header, encoding=encoding, mode="DROPMALFORMED", enforceSchema=True)
+    wide = encoding.upper().startswith("UTF-16")  # its lines can't be split by bytes: a file is one task's
+    out = spark.read.csv(path, schema=schema, sep=delimiter, header=header, encoding=encoding, mode="DROPMALFORMED", enforceSchema=True, multiLine=wide)
     return out.toDF(*names)
 
 
@@ -155,7 +163,7 @@ def encoding_of(first: bytes) -> str:
 
 def detect_encoding(spark: SparkSession, path: str, lines: int = 50) -> str:
     """The encoding of a text file, from its first lines."""
-    return encoding_of("\n".join(head(spark, path, lines, "ISO-8859-1")).encode("latin-1"))
+    return encoding_of(raw_head(spark, path, lines))
 
 
 def pick_columns(names: list[str], terms: tuple[str, ...], time: str = "UTC") -> str:
@@ -189,7 +197,7 @@ def safe_name(name: str) -> str:
 def detect_format(df: DataFrame, column: str, custom: str | None = None, cleaned: bool = False) -> str | None:
     """The first format by which any row of the column can be read: one aggregate over all formats."""
     formats = ([custom] if custom else []) + FORMATS
-    c = clean_time(F.col(column)) if cleaned else F.trim(column)
+    c = F.trim(clean_time(F.col(column))) if cleaned else F.trim(column)
     row = df.agg(*[F.count(F.try_to_timestamp(c, F.lit(f))).alias(f"f{i}") for i, f in enumerate(formats)]).first()
     return next((f for i, f in enumerate(formats) if row[i]), None)
 
@@ -208,7 +216,7 @@ def standardise(df: DataFrame, spec: TextSpec, series_id: str = "series") -> Dat
     fmt = detect_format(rows, "_time", spec.format, joined)
     if fmt is None:
         raise ValueError("no known format fits the time column")
-    ts: Column = F.try_to_timestamp(clean_time(F.col("_time")) if joined else F.trim("_time"), F.lit(fmt))
+    ts: Column = F.try_to_timestamp(F.trim(clean_time(F.col("_time"))) if joined else F.trim("_time"), F.lit(fmt))
     if "xx" not in fmt and spec.zone != "UTC":
         ts = local_to_utc(ts, spec.zone)
     return rows.select(F.lit(series_id).alias("series_id"), ts.alias("ts"), to_number(F.col("_raw")).alias("value"), "row_pos").where("ts is not null")
