@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.scalar import round_even
 from tidemark.operators.ordered import bucketed, carried, numbered, running
+from tidemark.operators.quantiles import quantiles
 
 ORDER = ["ts", "row_pos"]
 
@@ -103,8 +104,8 @@ def fill_linear_rows(series: DataFrame, limit: int | None = None, trailing: bool
 
 def iqr_bounds(df: DataFrame, column: str, factor: float = 1.5) -> DataFrame:
     """One row (low, high) from the exact quartiles."""
-    q = F.percentile(column, F.array(F.lit(0.25), F.lit(0.75)))
-    return df.agg(q.alias("q")).select((F.col("q")[0] - factor * (F.col("q")[1] - F.col("q")[0])).alias("low"), (F.col("q")[1] + factor * (F.col("q")[1] - F.col("q")[0])).alias("high"))
+    q = quantiles(df, column, [0.25, 0.75])
+    return q.select((F.col("q")[0] - factor * (F.col("q")[1] - F.col("q")[0])).alias("low"), (F.col("q")[1] + factor * (F.col("q")[1] - F.col("q")[0])).alias("high"))
 
 
 def drop_outliers(df: DataFrame, columns: list[str], factor: float = 1.5) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.ordered import bucketed, carried
+from tidemark.operators.quantiles import quantiles
 
 
 def series_info(series: DataFrame) -> DataFrame:
@@ -37,7 +38,8 @@ def gaps(series: DataFrame) -> DataFrame:
 
 def timestep(series: DataFrame) -> DataFrame:
     """(series_id, step_min, offset_min): median step in whole minutes, and the first minute modulo it."""
-    step = gaps(series).groupBy("series_id").agg(F.coalesce(F.bround(F.median("gap_s") / 60, 0), F.lit(0)).cast("int").alias("step_min"), F.min("ts").alias("_first"))
+    mid = quantiles(gaps(series), "gap_s", [0.5], ["series_id"]).select("series_id", F.bround(F.col("q")[0] / 60, 0).alias("_step"))
+    step = series.groupBy("series_id").agg(F.min("ts").alias("_first")).join(mid, "series_id", "left").withColumn("step_min", F.coalesce("_step", F.lit(0)).cast("int"))
     return step.select("series_id", "step_min", F.when(F.col("step_min") > 0, F.minute("_first") % F.col("step_min")).otherwise(0).alias("offset_min"))
 
 
@@ -55,8 +57,8 @@ def step_deviation(series: DataFrame) -> DataFrame:
 def report(series: DataFrame) -> DataFrame:
     """Counts of rows, missing values, repeated times, and steps longer than twice the median."""
     g = gaps(series)
-    mid = g.groupBy("series_id").agg(F.median("gap_s").alias("mid"))
-    counts = g.join(mid, "series_id").groupBy("series_id").agg(
+    mid = quantiles(g, "gap_s", [0.5], ["series_id"]).select("series_id", F.col("q")[0].alias("mid"))
+    counts = g.join(mid, "series_id", "left").groupBy("series_id").agg(
         F.count("*").alias("n_rows"), F.count_if(F.col("value").isNull()).alias("n_missing"), F.count_if(F.col("gap_s") > 2 * F.col("mid")).alias("n_irregular")
     )
     times = series.groupBy("series_id", "ts").count().groupBy("series_id").agg(F.sum(F.col("count") - 1).alias("n_repeated"))
@@ -66,10 +68,10 @@ def report(series: DataFrame) -> DataFrame:
 def describe(df: DataFrame, column: str) -> DataFrame:
     """Count, mean, standard deviation, extremes and exact quartiles of a column."""
     c = F.col(column)
-    q = F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return df.agg(F.count(c).alias("n"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).alias("min"), q.alias("_q"), F.max(c).alias("max")).select(
-        "n", "mean", "std", "min", F.col("_q")[0].alias("q25"), F.col("_q")[1].alias("q50"), F.col("_q")[2].alias("q75"), "max"
-    )
+    plain = df.agg(F.count(c).alias("n"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).alias("min"), F.max(c).alias("max"))
+    q = quantiles(df, column, [0.25, 0.5, 0.75])
+    both = plain.crossJoin(q)  # one row each
+    return both.select("n", "mean", "std", "min", F.col("q")[0].alias("q25"), F.col("q")[1].alias("q50"), F.col("q")[2].alias("q75"), "max")
 
 
 def resample(series: DataFrame, seconds: int, how: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.ordered import KEY, carried
+from tidemark.operators.quantiles import quantiles
 
 LEVELS = 12
 
@@ -61,9 +62,9 @@ def residuals(df: DataFrame) -> DataFrame:
 
 
 def distribution(df: DataFrame, by: str, value: str) -> DataFrame:
-    """Exact quartiles and extremes of each group."""
-    q = F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return df.groupBy(by).agg(q.alias("_q"), F.min(value).alias("low"), F.max(value).alias("high")).select(by, "low", F.col("_q")[0].alias("q25"), F.col("_q")[1].alias("q50"), F.col("_q")[2].alias("q75"), "high")
+    """Exact quartiles and extremes of each group that has values."""
+    q = quantiles(df, value, [0, 0.25, 0.5, 0.75, 1], [by])
+    return q.select(by, *[F.col("q")[i].alias(name) for i, name in enumerate(["low", "q25", "q50", "q75", "high"])])
 
 
 # The names of the error columns, by metric.
