@@ -201,11 +201,12 @@ def classes(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id", tex
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One document of each group stays, the one with the smallest id, with all its columns.
 
-    Rows with a null id take no part and stay; of rows that repeat an id the text with the smallest hash stays.
+    Rows with a null id take no part and stay; of rows that repeat an id the text with the smallest hash stays,
+    and of these the one whose JSON form is the smallest.
     """
     has = docs.where(F.col(id_col).isNotNull())
     kept = classes(has, id_col=id_col, text_col=text_col).where("doc_id = component_id").select(F.col("doc_id").alias("kept")).distinct()
     rows = has.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("digest"), F.col(text_col).alias("own"), F.struct(*map(F.col, docs.columns)).alias("row"))
-    nth = F.row_number().over(Window.partitionBy("kept").orderBy("digest", "own"))
+    nth = F.row_number().over(Window.partitionBy("kept").orderBy("digest", "own", F.to_json("row")))
     first = rows.join(kept, F.col("id") == F.col("kept")).withColumn("nth", nth).where("nth = 1").select("row.*")
     return first.unionAll(docs.where(F.col(id_col).isNull()))
