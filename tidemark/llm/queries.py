@@ -9,8 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import ann, bpe, langid, media, packing, quality, simhash, substring_dedup, toxicity, url_filter
-from tidemark.llm.common import held_out
+from tidemark.llm import ann, bpe, langid, media, packing, quality, secret_scan, simhash, substring_dedup, toxicity, url_filter
+from tidemark.llm.common import fresh_path, held_out
 
 #: The rules that op4 applies: host, path, verdict.
 URL_RULES = [
@@ -95,6 +95,14 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, langid.train(docs)).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = secret_scan.scan(table(spark, sf_dir, "documents"), fresh_path(spark, "ledger"))
+    base = [r.kind for r in secret_scan.BASE_RULES]
+    counts = [F.size(secret_scan.of_kinds(F.col("findings"), [k])).cast("long").alias(f"n_{k}") for k in base]
+    held = secret_scan.written(secret_scan.of_kinds(F.col("findings"), base))
+    return out.select("doc_id", *counts, F.sha2(held.cast("binary"), 256).alias("base_sha256"), secret_scan.written(F.col("findings")).alias("spans"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ann": op1_ann,
     "op2_quality": op2_quality,
@@ -106,8 +114,34 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op9_toxicity": op9_toxicity,
     "op10_language": op10_language,
+    "op11_secret_scan": op11_secret_scan,
 }
 
+
+
+def _secrets_sql() -> str:
+    """Each rule's matches and the text between them, numbered, with running sums of their lengths as places."""
+    rules = secret_scan.BASE_RULES + secret_scan.MORE_RULES
+    base = ", ".join(f"'{r.kind}'" for r in secret_scan.BASE_RULES)
+    kinds = ", ".join("({}, '{}', {}, {})".format(k, r.kind, r.least, "'" + r.pattern.replace("'", "''") + "'") for k, r in enumerate(rules))
+    found = " UNION ALL ".join(
+        f"SELECT d, {k} AS k, regexp_extract_all(body, p, 0) AS whole, regexp_extract_all(body, p, {r.group}) AS counted, regexp_split_to_array(body, p) AS gaps FROM docs, (SELECT pattern AS p FROM rules WHERE k = {k}) WHERE regexp_matches(body, p)"
+        for k, r in enumerate(rules)
+    )
+    return f"""
+        WITH rules(k, kind, least, pattern) AS (VALUES {kinds}),
+        docs AS (SELECT row_number() OVER () AS d, doc_id, COALESCE(text, '') AS body FROM documents),
+        found AS ({found}),
+        each AS (SELECT d, k, unnest(range(1, len(whole) + 1)) AS i, unnest(whole) AS w, unnest(counted) AS c, unnest(gaps[1:len(whole)]) AS g FROM found),
+        placed AS (SELECT *, sum(length(g) + length(w)) OVER (PARTITION BY d, k ORDER BY i) AS e FROM each),
+        kept AS (SELECT d, kind, p.k, (e - length(w))::BIGINT AS s, kind || ':' || (e - length(w))::BIGINT || ':' || e::BIGINT AS span
+                 FROM placed p JOIN rules r ON p.k = r.k WHERE length(c) >= least)
+        SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+               sha256(COALESCE(string_agg(span, ',' ORDER BY s, k) FILTER (kind IN ({base})), '')) AS base_sha256,
+               COALESCE(string_agg(span, ',' ORDER BY s, k), '') AS spans
+        FROM docs LEFT JOIN kept USING (d) GROUP BY d, doc_id"""
+
+
 _RULES_SQL = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
 
 ORACLE_SQL: dict[str, str] = {
@@ -124,4 +158,5 @@ ORACLE_SQL: dict[str, str] = {
                    row_number() OVER (PARTITION BY page_id ORDER BY length(rh) + length(rp) DESC NULLS LAST, length(rh) DESC, rh || rp DESC) AS k
             FROM parts p LEFT JOIN rules ON (p.host = rh OR ends_with(p.host, '.' || rh)) AND starts_with(p.path, rp))
         SELECT page_id, host, path, rule, COALESCE(rv, 'allow') AS verdict FROM judged WHERE k = 1""",
+    "op11_secret_scan": _secrets_sql(),
 }
