@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import ann, bpe, langid, media, packing, quality, secret_scan, simhash, substring_dedup, toxicity, url_filter
+from tidemark.llm import ann, bpe, langid, media, merkle, packing, quality, secret_scan, simhash, substring_dedup, toxicity, url_filter
 from tidemark.llm.common import fresh_path, held_out
 
 #: The rules that op4 applies: host, path, verdict.
@@ -103,6 +103,13 @@ def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *counts, F.sha2(held.cast("binary"), 256).alias("base_sha256"), secret_scan.written(F.col("findings")).alias("spans"))
 
 
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    even = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    docs = table(spark, sf_dir, "documents").withColumn("tampered", F.when(even, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text")))
+    out = merkle.manifest(docs, "tampered")
+    return out.select("doc_id", "leaf", "subroot", "root", F.sha2(F.col("proof").cast("binary"), 256).alias("proof_sha256"), "folded_root", "verified")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ann": op1_ann,
     "op2_quality": op2_quality,
@@ -115,6 +122,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_toxicity": op9_toxicity,
     "op10_language": op10_language,
     "op11_secret_scan": op11_secret_scan,
+    "op13_merkle": op13_merkle,
 }
 
 
@@ -159,4 +167,39 @@ ORACLE_SQL: dict[str, str] = {
             FROM parts p LEFT JOIN rules ON (p.host = rh OR ends_with(p.host, '.' || rh)) AND starts_with(p.path, rp))
         SELECT page_id, host, path, rule, COALESCE(rv, 'allow') AS verdict FROM judged WHERE k = 1""",
     "op11_secret_scan": _secrets_sql(),
+    "op13_merkle": """
+        WITH RECURSIVE crc AS (
+            SELECT doc_id, bytes[1:0] AS done, bytes, 4294967295::BIGINT AS c, 1 AS i
+            FROM (SELECT DISTINCT doc_id, list_transform(range(1, length(doc_id::VARCHAR) + 1), lambda k: ascii(substr(doc_id::VARCHAR, k, 1))::BIGINT) AS bytes FROM documents WHERE doc_id IS NOT NULL)
+            UNION ALL
+            SELECT doc_id, done, bytes, list_reduce([xor(c, bytes[i])] || range(0, 8), lambda x, j: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END), i + 1
+            FROM crc WHERE i <= len(bytes)),
+        even AS (SELECT doc_id FROM crc WHERE i = len(bytes) + 1 AND xor(c, 4294967295) % 2 = 0),
+        texts AS (SELECT row_number() OVER (ORDER BY source NULLS FIRST, doc_id NULLS FIRST) AS d, *, CASE WHEN doc_id IN (FROM even) THEN replace(text, chr(10), '') ELSE text END AS now FROM documents),
+        heads AS (SELECT d, doc_id, source, text, now,
+                         COALESCE(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || COALESCE(strlen(source) || ':' || source, '-') || COALESCE(strlen(lang) || ':' || lang, '-') || COALESCE(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') AS h
+                  FROM texts),
+        leaves AS (SELECT d, doc_id, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS tree, row_number() OVER (PARTITION BY source ORDER BY d) - 1 AS k,
+                          sha256(h || COALESCE(strlen(text) || ':' || text, '-')) AS leaf, sha256(h || COALESCE(strlen(now) || ':' || now, '-')) AS stored FROM heads),
+        nodes AS (
+            SELECT tree, 0 AS lvl, k, leaf AS h, count(*) OVER (PARTITION BY tree) AS n FROM leaves
+            UNION ALL
+            SELECT tree, lvl + 1, k // 3, sha256(string_agg(h, '' ORDER BY k)), (any_value(n) + 2) // 3 FROM nodes WHERE n > 1 GROUP BY tree, lvl, k // 3),
+        subroots AS (SELECT tree, h FROM nodes WHERE n = 1),
+        tops AS (
+            SELECT 0 AS lvl, tree AS k, h, (SELECT count(*) FROM subroots) AS n FROM subroots
+            UNION ALL
+            SELECT lvl + 1, k // 3, sha256(string_agg(h, '' ORDER BY k)), (any_value(n) + 2) // 3 FROM tops WHERE n > 1 GROUP BY lvl, k // 3),
+        every AS (SELECT tree, lvl, k, h, n FROM nodes UNION ALL SELECT -1, lvl, k, h, n FROM tops),
+        runs AS (SELECT tree, lvl, k // 3 AS run, list(h ORDER BY k) AS hs FROM every WHERE n > 1 GROUP BY tree, lvl, k // 3),
+        folding AS (
+            SELECT d, tree, tree AS source_tree, 0 AS lvl, k, stored AS now, '' AS proof, true AS more FROM leaves
+            UNION ALL
+            SELECT d, CASE WHEN hs IS NULL THEN -1 ELSE f.tree END, source_tree, CASE WHEN hs IS NULL THEN 0 ELSE f.lvl + 1 END, CASE WHEN hs IS NULL THEN source_tree ELSE k // 3 END,
+                   CASE WHEN hs IS NULL THEN now ELSE sha256(array_to_string(hs[1:k % 3] || [now] || hs[k % 3 + 2:3], '')) END,
+                   CASE WHEN hs IS NULL THEN proof ELSE proof || array_to_string(hs[1:k % 3] || hs[k % 3 + 2:3], '') END, hs IS NOT NULL OR f.tree >= 0
+            FROM folding f LEFT JOIN runs r ON r.tree = f.tree AND r.lvl = f.lvl AND r.run = f.k // 3 WHERE more),
+        root AS (SELECT h FROM tops WHERE n = 1)
+        SELECT doc_id, leaf, s.h AS subroot, root.h AS root, sha256(proof) AS proof_sha256, now AS folded_root, now = root.h AS verified
+        FROM leaves JOIN folding USING (d) JOIN subroots s ON s.tree = source_tree, root WHERE NOT more""",
 }
