@@ -223,11 +223,14 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[bounds[0] : bounds[-1]], bounds - bounds[0]
 
 
-def word_bounds(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of all words in the bytes, and the first word's number for each row (rows + 1)."""
+def word_bounds(data: np.ndarray, bounds: np.ndarray, between: np.ndarray = _IS_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of all words in the bytes, and the first word's number for each row (rows + 1).
+
+    between: of each of the 256 bytes whether it separates words.
+    """
     if not len(data):
         return np.empty(0, np.int64), np.empty(0, np.int64), np.zeros(len(bounds), np.int64)
-    ink = ~_IS_SPACE[data]
+    ink = ~between[data]
     starts, ends = ink.copy(), ink.copy()
     starts[1:] &= ~ink[:-1]
     ends[:-1] &= ~ink[1:]

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import ann, bpe, langid, media, merkle, packing, quality, secret_scan, simhash, substring_dedup, toxicity, url_filter
+from tidemark.llm import ann, bpe, langid, lexical, media, merkle, packing, quality, secret_scan, simhash, substring_dedup, toxicity, url_filter
 from tidemark.llm.common import fresh_path, held_out
 
 #: The rules that op4 applies: host, path, verdict.
@@ -103,6 +103,10 @@ def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *counts, F.sha2(held.cast("binary"), 256).alias("base_sha256"), secret_scan.written(F.col("findings")).alias("spans"))
 
 
+def op12_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(lexical.build(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
+
+
 def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     even = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
     docs = table(spark, sf_dir, "documents").withColumn("tampered", F.when(even, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text")))
@@ -122,6 +126,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_toxicity": op9_toxicity,
     "op10_language": op10_language,
     "op11_secret_scan": op11_secret_scan,
+    "op12_lexical": op12_lexical,
     "op13_merkle": op13_merkle,
 }
 
@@ -167,6 +172,18 @@ ORACLE_SQL: dict[str, str] = {
             FROM parts p LEFT JOIN rules ON (p.host = rh OR ends_with(p.host, '.' || rh)) AND starts_with(p.path, rp))
         SELECT page_id, host, path, rule, COALESCE(rv, 'allow') AS verdict FROM judged WHERE k = 1""",
     "op11_secret_scan": _secrets_sql(),
+    "op12_lexical": """
+        WITH texts AS (SELECT row_number() OVER () AS d, doc_id, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS body FROM documents),
+        words AS (SELECT d, doc_id, unnest(regexp_extract_all(body, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM texts),
+        lengths AS (SELECT d, count(*) AS n FROM words GROUP BY d),
+        whole AS (SELECT count(*)::BIGINT AS n_docs, sum(n)::BIGINT AS n_terms FROM lengths),
+        tfs AS (SELECT d, doc_id, term, count(*) AS tf FROM words GROUP BY d, doc_id, term),
+        weights AS (SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM tfs, whole GROUP BY term, n_docs),
+        asked AS (SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+        scores AS (
+            SELECT item_id, d, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * n_docs) // n_terms))))::BIGINT AS score
+            FROM asked JOIN weights USING (term) JOIN tfs USING (term) JOIN lengths USING (d), whole GROUP BY item_id, d, doc_id)
+        SELECT item_id, rank::INT AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scores WHERE score > 0) WHERE rank <= 10""",
     "op13_merkle": """
         WITH RECURSIVE crc AS (
             SELECT doc_id, bytes[1:0] AS done, bytes, 4294967295::BIGINT AS c, 1 AS i
