@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.calendar import period_next, period_start
+from tidemark.operators.ordered import bucketed, running
+from tidemark.plans.lineage import dropped, stored
 
 # Days from the lapse of a subscription to deletion, days and hours before deletion of the two
 # warnings, hours between two steps, and the states that protect a user.
@@ -40,6 +42,55 @@ def quota(used: DataFrame, limits: DataFrame) -> DataFrame:
     return both.select("user_id", "used", "quota", F.coalesce(free | (F.col("used") < F.col("quota")), F.lit(False)).alias("allowed"), F.when(~free, F.greatest(F.col("quota") - F.col("used"), F.lit(0))).alias("remaining"))
 
 
+#: Amounts are exact to six places.
+AMOUNT = "decimal(28,6)"
+
+
+def admit(requests: DataFrame, limits: DataFrame, amount: str, at: str, key: str) -> DataFrame:
+    """requests with admitted and used: in the order of (at, key) an amount counts if what counted before leaves room for it.
+
+    requests: user_id, the time `at` and a key that tells requests of one time apart. limits: (user_id, quota); below 0
+    means no limit, null or no row that nothing is admitted. A null or negative amount isn't admitted. used: what the
+    user's admitted amounts add up to, this one included.
+
+    An admission depends on all before it, but not one by one. With room r, amounts of at most r/2 all count until they
+    have taken half of r, whatever else happens; a larger one counts if it fits beside those before it, and the first to do so ends
+    the round as well. Both are known from running sums over time buckets, and either leaves less than r/2. So all
+    requests up to that one are settled in one round for all users, rooms halve in each round, and there are about
+    log2(largest quota / smallest amount) rounds at most; amounts above the room left never count.
+    """
+    position = F.struct(F.col(at).alias("at"), F.col(key).alias("key"))
+    rows = requests.join(limits.select("user_id", F.col("quota").cast(AMOUNT).alias("_quota")), "user_id", "left").withColumn("_amount", F.col(amount).cast(AMOUNT))
+    asked = rows.where("_amount >= 0 and _quota >= 0 and _amount <= _quota").select("user_id", F.col(at).alias("ts"), F.col(key).alias("row_pos"), "_amount", position.alias("_at"), "_quota")
+    asked = stored(bucketed(asked), "requests")
+    rooms = stored(asked.groupBy("user_id").agg(F.first("_quota").alias("_room"), F.lit(None).cast(asked.schema["_at"].dataType).alias("_after")), "rooms")
+    settled = []
+    while not rooms.isEmpty():
+        left = asked.join(rooms, "user_id").where((F.col("_after").isNull() | (F.col("_at") > F.col("_after"))) & (F.col("_amount") <= F.col("_room")))
+        small = F.col("_amount") * 2 <= F.col("_room")
+        summed = running(left, "_through", F.when(small, F.col("_amount")).otherwise(F.lit(0).cast(AMOUNT)), ["ts", "row_pos"], "user_id")
+        ends = F.when(small, F.col("_through") * 2 > F.col("_room")).otherwise(F.col("_through") + F.col("_amount") <= F.col("_room"))
+        summed = stored(summed.select("user_id", "_at", "_amount", "_room", small.alias("_small"), ends.alias("_ends")), "round")
+        first = summed.where("_ends").groupBy("user_id").agg(F.min("_at").alias("_end"))
+        got = summed.join(first, "user_id", "left").where(F.col("_end").isNull() & F.col("_small") | (F.col("_at") < F.col("_end")) & F.col("_small") | (F.col("_at") == F.col("_end")))
+        got = stored(got.select("user_id", "_at", "_amount", "_room", "_end"), "admitted")
+        settled.append(got)
+        later = got.where("_end is not null").groupBy("user_id").agg((F.first("_room") - F.sum("_amount")).cast(AMOUNT).alias("_room"), F.first("_end").alias("_after"))
+        later = stored(later, "rooms")
+        dropped(rooms, summed)
+        rooms = later
+    dropped(rooms, asked)
+    fits = F.col("_quota") < 0
+    marks = None
+    for got in settled:
+        got = got.select("user_id", F.col("_at.at").alias(at), F.col("_at.key").alias(key), F.lit(True).alias("_fits"))
+        marks = got if marks is None else marks.unionAll(got)
+    rows = rows.withColumn("_fits", F.lit(None).cast("boolean")) if marks is None else rows.join(marks, ["user_id", at, key], "left")
+    rows = rows.withColumn("admitted", F.coalesce((F.col("_amount") >= 0) & (fits | F.coalesce("_fits", F.lit(False))), F.lit(False)))
+    counted = F.when(F.col("admitted"), F.col("_amount")).otherwise(F.lit(0).cast(AMOUNT))
+    return running(bucketed(rows, ts=at), "used", counted, [at, key], "user_id").select(*requests.columns, "admitted", "used")
+
+
 def retention_actions(subscriptions: DataFrame, notices: DataFrame, now: Column) -> DataFrame:
     """(user_id, subscription_id, action, deletion_date) for users of whom something is due.
 

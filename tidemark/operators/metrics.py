@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.scalar import finite
 from tidemark.operators.ordered import KEY, carried
 from tidemark.operators.quantiles import quantiles
 
@@ -76,3 +79,30 @@ def evaluation_table(levels: DataFrame, step_minutes: float) -> DataFrame:
     known = [k for k in TABLE_NAMES if k in levels.columns]
     pair = F.explode(F.array(*[F.struct(F.lit(TABLE_NAMES[k]).alias("metric"), F.col(k).alias("value")) for k in known]))
     return levels.select("feature", (F.col("level") * step_minutes).alias("delta_min"), pair.alias("_p")).select("feature", "delta_min", "_p.metric", "_p.value")
+
+
+#: Points at which a density is given, cells that values are dealt to, and widths of the kernel beyond the extremes.
+POINTS, CELLS, BEYOND = 100, 512, 2
+
+
+def density(df: DataFrame, by: str, value: str, points: int = POINTS, cells: int = CELLS, beyond: float = BEYOND) -> DataFrame:
+    """(by, point, x, density): a Gaussian kernel estimate of each group's values at equally spaced points.
+
+    The width is Scott's: the standard deviation times n to the power of -1/5. Each value is dealt to the two cells of a
+    fixed grid around it in one aggregate; the kernel then runs over the cells, so no group's values meet in one task. Null and
+    non-finite values don't count; a group with fewer than two distinct values has no density.
+    """
+    rows = df.select(F.col(by).alias("_by"), finite(F.col(value).cast("double")).alias("_v")).where("_v is not null")
+    stats = rows.groupBy("_by").agg(F.count("*").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.stddev_samp("_v").alias("_sd")).where("_hi > _lo")
+    stats = stats.withColumn("_w", F.col("_sd") * F.pow(F.col("_n"), F.lit(-0.2)))
+    same = F.col("_by").eqNullSafe(F.col("_key"))
+    keyed = stats.withColumnRenamed("_by", "_key")
+    at = (F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * (cells - 1)
+    low = F.least(F.floor(at), F.lit(cells - 2))
+    shares = F.array(F.struct(low.alias("cell"), (1 - (at - low)).alias("share")), F.struct((low + 1).alias("cell"), (at - low).alias("share")))
+    dealt = rows.join(keyed, same).select("_by", F.explode(shares).alias("s")).groupBy("_by", F.col("s.cell").alias("cell")).agg(F.sum("s.share").alias("share")).where("share > 0")
+    grid = keyed.withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
+    x = F.col("_lo") - beyond * F.col("_w") + F.col("point") * (F.col("_hi") - F.col("_lo") + 2 * beyond * F.col("_w")) / (points - 1)
+    z = (F.col("x") - F.col("_lo") - F.col("cell") * (F.col("_hi") - F.col("_lo")) / (cells - 1)) / F.col("_w")
+    kernel = F.sum(F.col("share") * F.exp(-z * z / 2)) / (F.first("_n") * F.first("_w") * math.sqrt(2 * math.pi))
+    return dealt.join(grid.withColumn("x", x), same).groupBy(F.col("_by").alias(by), "point", "x").agg(kernel.alias("density"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 
@@ -20,3 +21,28 @@ def checkpointed(df: DataFrame) -> DataFrame:
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(at or tempfile.mkdtemp(prefix="tidemark-"))
     return df.checkpoint()
+
+
+def _folder(spark) -> str:
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        at = "file://" + tempfile.mkdtemp(prefix="tidemark-")
+        spark.conf.set("spark.checkpoint.dir", at)
+    return f"{at.rstrip('/')}/tidemark"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df, written as a columnar table in the shared folder and read again; dropped() deletes it."""
+    path = f"{_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Delete tables made by stored() that no later plan reads."""
+    for t in tables:
+        for d in {f.rpartition("/")[0] for f in t.inputFiles()}:
+            path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(d)
+            path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import calendar, scalar
-from tidemark.operators import accounts, clean, decompose, forecast, info, joins, metrics, models, regression, sbad, scale, setops, windows
+from tidemark.operators import accounts, clean, decompose, forecast, info, joins, metrics, models, outputs, regression, sbad, scale, setops, windows
 from tidemark.operators.grid import anchor_start
 from tidemark.operators.ordered import asof
 from tidemark.operators.regrid import RegridSpec, first_per_time, regrid
@@ -627,6 +627,16 @@ def violin_stats(spark, sf_dir):
     return out.select("feature", "low", *[r6(c).alias(c) for c in ("q25", "q50", "q75")], "high")
 
 
+@query("""WITH v AS (SELECT l_returnflag AS f, l_extendedprice AS v FROM lineitem), st AS (SELECT f, count(*) AS n, min(v) AS lo, max(v) AS hi, stddev_samp(v) * pow(count(*), -0.2) AS w FROM v GROUP BY 1),
+ a AS (SELECT f, n, lo, hi, w, (v - lo) / (hi - lo) * 511 AS p FROM v JOIN st USING (f)), b AS (SELECT f, p, least(floor(p), 510) AS c FROM a),
+ c AS (SELECT f, c AS cell, sum(1 - (p - c)) AS s FROM b GROUP BY ALL UNION ALL SELECT f, c + 1, sum(p - c) FROM b GROUP BY ALL),
+ x AS (SELECT *, lo - 2 * w + k * (hi - lo + 4 * w) / 99 AS x FROM st, range(100) t(k))
+ SELECT f AS feature, CAST(k AS INTEGER) AS point, round(x, 4) AS x, round(1e6 * sum(s * exp(-0.5 * pow((x - lo - cell * (hi - lo) / 511) / w, 2))) / (n * w * sqrt(2 * pi())), 6) AS density FROM x JOIN c USING (f) GROUP BY f, k, x, n, w""")
+def violin_density(spark, sf_dir):
+    out = metrics.density(_features(spark, sf_dir), "feature", "value")
+    return out.select("feature", "point", F.round("x", 4).alias("x"), F.round(1e6 * F.col("density"), 6).alias("density"))
+
+
 @query(f"WITH {P} SELECT sample_id, step, round(y - q, 6) AS residual FROM p")
 def residuals(spark, sf_dir):
     return metrics.residuals(_predictions(spark, sf_dir)).select("sample_id", "step", r6("residual").alias("residual"))
@@ -646,6 +656,28 @@ def linear_model(spark, sf_dir):
     return out.select("sample_id", "step", "split", F.round("y_pred", 1).alias("y_pred"))
 
 
+def _outputs(spark, sf_dir):
+    """A sample for each order, its line numbers being the outputs."""
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("sample_id"), (F.col("l_linenumber") - 1).alias("step"), "l_quantity", "l_discount", F.col("l_extendedprice").alias("y"))
+    return scale.split_by_hash(rows, "sample_id")
+
+
+@query("""WITH r AS (SELECT l_orderkey AS sample_id, l_linenumber - 1 AS step, l_quantity AS q, l_discount AS d, l_extendedprice AS y, substr(md5('42:' || l_orderkey), 1, 7) AS u FROM lineitem),
+ c AS (SELECT step, var_pop(q) AS qq, var_pop(d) AS dd, covar_pop(q, d) AS qd, covar_pop(q, y) AS qy, covar_pop(d, y) AS dy, avg(q) AS mq, avg(d) AS md, avg(y) AS my FROM r WHERE u < 'b333333' GROUP BY 1),
+ w AS (SELECT *, (qy * dd - dy * qd) / (qq * dd - qd * qd) AS a, (dy * qq - qy * qd) / (qq * dd - qd * qd) AS b FROM c)
+ SELECT sample_id, step, CASE WHEN u < 'e666666' THEN 'val' ELSE 'test' END AS split, round(my + a * (q - mq) + b * (d - md), 1) AS y_pred FROM r JOIN w USING (step) WHERE u >= 'b333333'""")
+def linear_per_output(spark, sf_dir):
+    out = models.train_and_predict(_outputs(spark, sf_dir), ["l_quantity", "l_discount"], outputs.LinearOutputs(["step"]))
+    return out.select("sample_id", "step", "split", F.round("y_pred", 1).alias("y_pred"))
+
+
+@query()
+def boosted_per_output(spark, sf_dir):
+    model = outputs.BoostedOutputs(["step"], rounds=4, step=0.5, depth=3)
+    out = models.train_and_predict(_outputs(spark, sf_dir), ["l_quantity", "l_discount"], model)
+    return out.select("sample_id", "step", "split", F.round("y_pred", 1).alias("y_pred"))
+
+
 @query(f"WITH {_LINEAR} SELECT sample_id, step, round(p, 1) AS y_pred FROM o")
 def predict_scaled(spark, sf_dir):
     df = scale.split_by_hash(table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("sample_id"), (F.col("l_linenumber") - 1).alias("step"), "l_quantity", "l_discount", F.col("l_extendedprice").alias("y")), "sample_id")
@@ -731,6 +763,18 @@ def quota_check(spark, sf_dir):
     return accounts.quota(_used(spark, sf_dir), table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user_id"), plan.alias("quota")))
 
 
+@query("""WITH RECURSIVE q AS (SELECT o_orderkey AS id, o_custkey AS user_id, CAST(o_totalprice AS DECIMAL(28, 6)) AS a, CASE WHEN c_custkey % 7 = 0 THEN -1 ELSE (c_custkey % 10) * 200000 + 50000 END AS quota,
+  row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS k FROM orders LEFT JOIN customer ON o_custkey = c_custkey),
+ r AS (SELECT id, user_id, k, coalesce(quota < 0 OR a <= quota, false) AS ok, CASE WHEN quota < 0 OR a <= quota THEN a ELSE 0 END AS used FROM q WHERE k = 1
+  UNION ALL SELECT q.id, q.user_id, q.k, coalesce(quota < 0 OR used + a <= quota, false), CASE WHEN quota < 0 OR used + a <= quota THEN used + a ELSE used END FROM r JOIN q ON q.user_id = r.user_id AND q.k = r.k + 1)
+ SELECT id AS o_orderkey, ok AS admitted, CAST(used AS DOUBLE) AS used FROM r""")
+def quota_admission(spark, sf_dir):
+    key = F.col("c_custkey")
+    limits = table(spark, sf_dir, "customer").select(key.alias("user_id"), F.when(key % 7 == 0, -1).otherwise(key % 10 * 200000 + 50000).alias("quota"))
+    requests = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("user_id"), "o_orderkey", F.col("o_orderdate").cast("timestamp").alias("o_orderdate"), "o_totalprice")
+    return accounts.admit(requests, limits, "o_totalprice", "o_orderdate", "o_orderkey").select("o_orderkey", "admitted", F.col("used").cast("double").alias("used"))
+
+
 SUBS = """sub AS (SELECT o_orderkey AS id, o_custkey AS user_id, CASE o_orderkey % 11 WHEN 0 THEN 'active' ELSE 'canceled' END AS status, o_orderdate + CASE o_orderkey % 11 WHEN 0 THEN INTERVAL 2000 DAY ELSE INTERVAL 20 DAY END AS e FROM orders),
  n AS (SELECT id AS sid, CASE WHEN id % 3 = 0 THEN 'warn1' ELSE 'warn2' END AS kind, CASE WHEN id % 7 = 0 THEN 'bounced' ELSE 'sent' END AS st, e + INTERVAL 25 DAY AS sent FROM sub WHERE id % 2 = 0 UNION ALL SELECT id, 'warn1', 'sent', e + INTERVAL 24 DAY FROM sub WHERE id % 5 = 0)"""
 RETENTION_NOW = "1998-01-10 00:00:00"
