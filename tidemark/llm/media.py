@@ -80,41 +80,64 @@ def padded(text: Column) -> Column:
     return F.rpad(raw, size, F.unhex(F.lit("20")))
 
 
+def write_shard(batches: Iterator[pa.RecordBatch], uri: str) -> Iterator[pa.RecordBatch]:
+    """Write payloads as one tar file, wherever the URI says: (digest, shard, offset, length) of each different one."""
+    out, at, seen = None, 0, set()
+    for b in batches:
+        rows = []
+        for payload in b.column(0).to_pylist():
+            digest = hashlib.sha256(payload).digest()
+            if digest in seen:
+                continue
+            seen.add(digest)
+            if out is None:
+                fs, path = filesystem(uri)
+                out = fs.open_output_stream(path)
+            media = to_png(payload)
+            info = tarfile.TarInfo(digest.hex() + ".png")
+            info.size = len(media)
+            head = info.tobuf(tarfile.GNU_FORMAT)
+            rest = -len(media) % tarfile.BLOCKSIZE
+            out.write(head + media + bytes(rest))
+            rows.append((digest.hex(), uri, at + len(head), len(media)))
+            at += len(head) + len(media) + rest
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=["digest", "shard", "offset", "length"])
+    if out is not None:
+        out.write(bytes(2 * tarfile.BLOCKSIZE))
+        out.close()
+
+
+def read_ranges(rows: list[dict], opened: dict) -> list[bytes]:
+    """The bytes of each row (shard, offset, size); opened keeps the last shard's file open for the next call."""
+    out = []
+    for r in rows:
+        if r["shard"] not in opened:
+            close(opened)
+            fs, path = filesystem(r["shard"])
+            opened[r["shard"]] = fs.open_input_file(path)
+        out.append(opened[r["shard"]].read_at(r["size"], r["offset"]))
+    return out
+
+
+def close(opened: dict) -> None:
+    for file in opened.values():
+        file.close()
+    opened.clear()
+
+
 def store(docs: DataFrame, root: str | None = None, text_col: str = "text") -> DataFrame:
     """Write the payloads of all texts as tar shards below root; the manifest (digest, shard, offset, length).
 
     root: a folder that all executors share; a fresh one in the shared folder if not given.
     """
     spark = docs.sparkSession
-    root = root or fresh_path(spark, "media")
+    root = (root or fresh_path(spark, "media")).rstrip("/")
     fs, path = filesystem(root)
     fs.create_dir(path, recursive=True)
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, path = filesystem(root)
-        name, out, at, seen = f"{path}/shard-{uuid.uuid4().hex}.tar", None, 0, set()
-        for b in batches:
-            rows = []
-            for payload in b.column(0).to_pylist():
-                digest = hashlib.sha256(payload).digest()
-                if digest in seen:
-                    continue
-                seen.add(digest)
-                if out is None:
-                    out = fs.open_output_stream(name)
-                media = to_png(payload)
-                info = tarfile.TarInfo(digest.hex() + ".png")
-                info.size = len(media)
-                head = info.tobuf(tarfile.GNU_FORMAT)
-                rest = -len(media) % tarfile.BLOCKSIZE
-                out.write(head + media + bytes(rest))
-                rows.append((digest.hex(), name, at + len(head), len(media)))
-                at += len(head) + len(media) + rest
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=["digest", "shard", "offset", "length"])
-        if out is not None:
-            out.write(bytes(2 * tarfile.BLOCKSIZE))
-            out.close()
+        return write_shard(batches, f"{root}/shard-{uuid.uuid4().hex}.tar")
 
     bounded_batches(spark)
     payloads = docs.select(padded(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("payload"))
@@ -132,21 +155,13 @@ def _read(manifest: DataFrame, size: Column, make, schema: str) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        open_name, file = None, None
+        opened: dict = {}
         for b in batches:
             rows = b.to_pylist()
             for i in range(0, len(rows), 256):
-                part, raw = rows[i : i + 256], []
-                for r in part:
-                    if r["shard"] != open_name:
-                        if file is not None:
-                            file.close()
-                        file = filesystem("file:" + r["shard"] if r["shard"].startswith("/") else r["shard"])[0].open_input_file(r["shard"])
-                        open_name = r["shard"]
-                    raw.append(file.read_at(r["size"], r["offset"]))
-                yield pa.RecordBatch.from_pydict({"digest": [r["digest"] for r in part], **make(raw)})
-        if file is not None:
-            file.close()
+                part = rows[i : i + 256]
+                yield pa.RecordBatch.from_pydict({"digest": [r["digest"] for r in part], **make(read_ranges(part, opened))})
+        close(opened)
 
     bounded_batches(manifest.sparkSession)
     return manifest.select("digest", "shard", "offset", size.alias("size")).mapInArrow(run, f"digest string, {schema}")
