@@ -181,8 +181,9 @@ def build(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard
 
     def forward(b: pa.RecordBatch) -> pa.RecordBatch:
         x = bag(b.column(1))
-        cluster, margin = descend(tree.value, x.row, _features(x.words)[x.term], b.num_rows)
+        cluster, said = descend(tree.value, x.row, _features(x.words)[x.term], b.num_rows)
         cuts = np.searchsorted(x.row, np.arange(b.num_rows + 1))
+        margin = said / np.maximum(np.diff(cuts), 1)  # for each term, or long documents would lie together
         numbers, tfs = x.term.tolist(), x.tf.astype(np.int32)
         terms = [b" ".join(map(x.words.__getitem__, numbers[i:j])) for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
         counts = [tfs[i:j].tobytes() for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
