@@ -33,9 +33,14 @@ def _folder(spark) -> str:
     return f"{at.rstrip('/')}/tidemark"
 
 
+def shared_path(spark, name: str) -> str:
+    """A path in the shared folder that nothing else has."""
+    return f"{_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df, written as a columnar table in the shared folder and read again; dropped() deletes it."""
-    path = f"{_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

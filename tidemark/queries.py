@@ -15,8 +15,9 @@ from tidemark.operators import accounts, clean, decompose, forecast, info, joins
 from tidemark.operators.grid import anchor_start
 from tidemark.operators.ordered import asof
 from tidemark.operators.regrid import RegridSpec, first_per_time, regrid
+from tidemark.plans.lineage import shared_path
 from tidemark.plans.preparation import CleanSpec, adjust, cleaned
-from tidemark.sources import sinks
+from tidemark.sources import keyed, sinks
 from tidemark.sources.tables import event_series, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -559,11 +560,13 @@ def minmax_scale(spark, sf_dir):
     return scale.transform(df, scale.fit(df, low=-1, high=1)).withColumn("value", r6("value"))
 
 
-@query("SELECT l_orderkey, l_linenumber, l_returnflag AS feature, round(l_extendedprice, 4) AS value FROM lineitem")
+@query("""WITH s AS (SELECT l_returnflag AS feature, min(l_extendedprice) AS lo, max(l_extendedprice) AS hi FROM lineitem GROUP BY 1)
+ SELECT l_orderkey, l_linenumber, feature, round(lo + (l_discount + 1) / 2 * (hi - lo), 4) AS value FROM lineitem JOIN s ON feature = l_returnflag""")
 def minmax_inverse(spark, sf_dir):
-    df = _features(spark, sf_dir)
-    s = scale.fit(df)
-    return scale.inverse(scale.transform(df, s), s).withColumn("value", F.round("value", 4))
+    """Discounts, taken as scaled numbers between -1 and 1, put on the range of the prices."""
+    s = scale.fit(_features(spark, sf_dir), low=-1, high=1)
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_returnflag").alias("feature"), F.col("l_discount").alias("value"))
+    return scale.inverse(rows, s).withColumn("value", F.round("value", 4))
 
 
 @query(f"""WITH {S}, n AS (SELECT series_id, row_pos, row_number() OVER (PARTITION BY series_id ORDER BY ts, row_pos) AS i, count(*) OVER (PARTITION BY series_id) AS n FROM s)
@@ -603,16 +606,17 @@ def metrics_per_step(spark, sf_dir):
     return _metrics(metrics.evaluate(_predictions(spark, sf_dir), ["feature", "step"]), "feature", "step")
 
 
-@query(f"""WITH {P}, a AS (SELECT sample_id, feature, k AS level, step // k AS block, avg(y) AS y, avg(q) AS q FROM p, range(1, 8) t(k) WHERE step // k < 7 // k GROUP BY ALL) SELECT feature, CAST(level AS INTEGER) AS level, {M} FROM a GROUP BY ALL""")
+@query(f"""WITH {P}, a AS (SELECT sample_id, feature, k AS level, step // k AS block, avg(y) AS y, avg(q) AS q FROM p, range(1, 13) t(k) WHERE step // k < 7 // k GROUP BY ALL) SELECT feature, CAST(level AS INTEGER) AS level, {M} FROM a GROUP BY ALL""")
 def metrics_levels(spark, sf_dir):
-    return _metrics(metrics.evaluate(metrics.averaged_levels(_predictions(spark, sf_dir), 7, 7), ["feature", "level"]), "feature", "level")
+    return _metrics(metrics.evaluate(metrics.averaged_levels(_predictions(spark, sf_dir), 7), ["feature", "level"]), "feature", "level")
 
 
-@query(f"""WITH {P}, a AS (SELECT sample_id, feature, k AS level, step // k AS block, avg(y) AS y, avg(q) AS q FROM p, range(1, 8) t(k) WHERE step // k < 7 // k GROUP BY ALL), e AS (SELECT feature, level * 15 AS delta_min, {M} FROM a GROUP BY feature, level)
- SELECT feature, CAST(delta_min AS INTEGER) AS delta_min, unnest(['MAE', 'MAPE', 'RMSE']) AS metric, unnest([mae, round(mape, 4), rmse]) AS value FROM e""")
+@query(f"""WITH {P}, a AS (SELECT sample_id, feature, k AS level, step // k AS block, avg(y) AS y, avg(q) AS q FROM p, range(1, 13) t(k) WHERE step // k < 7 // k GROUP BY ALL), e AS (SELECT feature, level * 15 AS delta_min, {M}, avg((y - q) * (y - q)) AS mse FROM a GROUP BY feature, level)
+ SELECT feature, CAST(delta_min AS INTEGER) AS delta_min, unnest(['MAE', 'MAPE', 'MSE', 'RMSE', 'NRMSE', 'WAPE', 'sMAPE']) AS metric,
+ unnest([mae, round(mape, 4), round(mse, 0), rmse, round(nrmse, 4), round(wape, 4), round(smape, 4)]) AS value FROM e""")
 def evaluation_tables(spark, sf_dir):
-    out = metrics.evaluation_table(metrics.evaluate(metrics.averaged_levels(_predictions(spark, sf_dir), 7, 7), ["feature", "level"]), 15)
-    return out.where("metric in ('MAE', 'MAPE', 'RMSE')").select("feature", "delta_min", "metric", F.round("value", 4).alias("value"))
+    out = metrics.evaluation_table(metrics.evaluate(metrics.averaged_levels(_predictions(spark, sf_dir), 7), ["feature", "level"]), 15)
+    return out.select("feature", "delta_min", "metric", F.when(F.col("metric") == "MSE", F.round("value", 0)).otherwise(F.round("value", 4)).alias("value"))
 
 
 @query("""WITH m AS (SELECT s_nationkey AS metric, s_name AS model, s_acctbal AS value FROM supplier) SELECT metric, arg_min(model, value) AS best_model, min(value) AS best_value FROM m GROUP BY 1""")
@@ -815,13 +819,24 @@ def stale_users(spark, sf_dir):
     return accounts.stale_users(o, o.where("o_orderkey % 9 = 0"), F.lit(NOW).cast("timestamp")).select("user_id", us("last_at").alias("last_at"))
 
 
-@query("""WITH f AS (SELECT l_orderkey AS k, count(*) AS n, '[' || string_agg('{"line":' || l_linenumber || ',"flag":"' || l_returnflag || '"}', ',' ORDER BY l_linenumber, l_returnflag) || ']' AS files FROM lineitem WHERE l_quantity > 25 GROUP BY 1)
+@query("""WITH f AS (SELECT l_orderkey AS k, count(*) AS n, '[' || string_agg('{"line":' || l_linenumber || ',"flag":"' || l_returnflag || '"}', ',' ORDER BY l_linenumber, l_returnflag) || ']' AS files FROM lineitem GROUP BY 1)
  SELECT o_orderkey, coalesce(n, 0) AS n_files, coalesce(files, '[]') AS files FROM orders LEFT JOIN f ON k = o_orderkey""")
 def session_list_json(spark, sf_dir):
-    files = table(spark, sf_dir, "lineitem").where("l_quantity > 25").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_linenumber").alias("line"), F.col("l_returnflag").alias("flag"))
+    files = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_linenumber").alias("line"), F.col("l_returnflag").alias("flag"))
     return accounts.session_list(table(spark, sf_dir, "orders").select("o_orderkey"), files, "o_orderkey", ["line", "flag"], ["line", "flag"])
 
 
+@query("SELECT o_custkey AS user_id, CAST(round(sum(o_totalprice), 2) AS DOUBLE) AS used FROM orders GROUP BY 1")
+def keyed_upserts(spark, sf_dir):
+    """Sums by customer in a stored table: two halves of the orders as batches, the second one applied twice."""
+    path = shared_path(spark, "usage")
+    rows = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("user_id"), F.col("o_totalprice").cast("decimal(28,6)").alias("used"), "o_orderkey")
+    for number, half in enumerate((0, 1, 1)):
+        batch = rows.where(F.pmod(F.xxhash64("o_orderkey"), F.lit(2)) == half).groupBy("user_id").agg(F.sum("used").cast("decimal(28,6)").alias("used"))
+        keyed.apply(path, batch, ["user_id"], lambda old, new: setops.upsert_add(old, new, ["user_id"], "used").withColumn("used", F.col("used").cast("decimal(28,6)")), min(number, 1), 16)
+    return keyed.read(spark, path).select("user_id", F.round(F.col("used").cast("double"), 2).alias("used"))
+
+
 # --- text --------------------------------------------------------------------------------
 
 
