@@ -33,9 +33,11 @@ def fit_linear(pairs: DataFrame) -> tuple[float, float]:
     return tuple(pairs.agg(F.regr_slope("y", "x"), F.regr_intercept("y", "x")).first())
 
 
-def fit_quadratic(pairs: DataFrame) -> tuple[float, float, float]:
-    """(a, b, c) of a*x*x + b*x + c: sums of centred powers in one aggregate, a system of three equations here."""
+def fit_quadratic(pairs: DataFrame) -> tuple[float | None, float | None, float | None]:
+    """(a, b, c) of a*x*x + b*x + c: sums of centred powers in one aggregate, a system of three equations here. All None without pairs."""
     mean, scale = pairs.agg(F.avg("x"), F.max(F.abs("x"))).first()
+    if mean is None:
+        return None, None, None
     scale = scale or 1.0
     x, y = (F.col("x") - mean) / scale, F.col("y")
     powers = [F.sum(F.pow(x, F.lit(k))) for k in range(5)]
