@@ -9,6 +9,9 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.networks import Convolution, Dense
+from tidemark.operators.support import SupportVector
+
 
 class Model(Protocol):
     def fit(self, samples: DataFrame, features: list[str]) -> Model: ...
@@ -45,12 +48,17 @@ class Boosted(_Spark):
         return GBTRegressor(featuresCol="_x", labelCol="y", predictionCol="y_pred", maxIter=self.rounds, stepSize=self.step, seed=42)
 
 
-MODELS: dict[str, type] = {"LIN": Linear, "LGBMR": Boosted}
-#: Kinds that need libraries beyond Spark; a Model can be passed in their place.
-FOREIGN = ("Dense", "CNN", "LSTM", "AR LSTM", "SVR_dir", "SVR_MIMO")
+#: Both support-vector kinds fit one model for each feature to forecast, over the rows of all steps.
+MODELS: dict[str, type] = {"LIN": Linear, "LGBMR": Boosted, "SVR_dir": SupportVector, "SVR_MIMO": SupportVector}
+#: Kinds that forecast whole arrays: networks.Network(NETWORKS[kind](...)), on samples (x, y).
+NETWORKS: dict[str, type] = {"Dense": Dense, "CNN": Convolution}
+#: Recurrent kinds; a Model can be passed in their place.
+FOREIGN = ("LSTM", "AR LSTM")
 
 
 def make(kind: str) -> Model:
+    if kind in NETWORKS:
+        raise ValueError(f"{kind} forecasts arrays: use networks.Network")
     if kind in FOREIGN:
         raise NotImplementedError(f"{kind}: pass an object with fit and predict")
     return MODELS[kind]()

@@ -11,11 +11,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import calendar, scalar
-from tidemark.operators import accounts, clean, decompose, forecast, info, joins, metrics, models, outputs, regression, sbad, scale, setops, windows
+from tidemark.operators import accounts, clean, decompose, forecast, info, joins, metrics, models, networks, outputs, regression, sbad, scale, setops, support, windows
 from tidemark.operators.grid import anchor_start
 from tidemark.operators.ordered import asof
 from tidemark.operators.regrid import RegridSpec, first_per_time, regrid
-from tidemark.plans.lineage import shared_path
+from tidemark.plans.lineage import shared_path, stored
 from tidemark.plans.preparation import CleanSpec, adjust, cleaned
 from tidemark.sources import keyed, sinks
 from tidemark.sources.tables import event_series, table
@@ -682,8 +682,8 @@ def boosted_per_output(spark, sf_dir):
     return out.select("sample_id", "step", "split", F.round("y_pred", 1).alias("y_pred"))
 
 
-@query(f"WITH {_LINEAR} SELECT sample_id, step, round(p, 1) AS y_pred FROM o")
-def predict_scaled(spark, sf_dir):
+def _scaled_forecast(spark, sf_dir, model):
+    """Predictions of prices from scaled quantities and discounts, for a model fitted on scaled prices."""
     df = scale.split_by_hash(table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("sample_id"), (F.col("l_linenumber") - 1).alias("step"), "l_quantity", "l_discount", F.col("l_extendedprice").alias("y")), "sample_id")
     train, names = df.where("split = 'train'"), ["l_quantity", "l_discount"]
     long = lambda c: train.select(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value"))
@@ -692,11 +692,44 @@ def predict_scaled(spark, sf_dir):
     scaled = scale.transform(scaled, scaler_out, value="y")
     for c in names:
         scaled = scale.transform(scaled.withColumn("feature", F.lit(c)), scaler_in, value=c)
-    model = models.make("LIN").fit(scaled, names)
+    model = model.fit(scaled, names)
     out = forecast.predicted(df.where("split != 'train'"), model, scaler_in, scaler_out, names, "y")
     return out.select("sample_id", "step", F.round("y_pred", 1).alias("y_pred"))
 
 
+@query(f"WITH {_LINEAR} SELECT sample_id, step, round(p, 1) AS y_pred FROM o")
+def predict_scaled(spark, sf_dir):
+    return _scaled_forecast(spark, sf_dir, models.make("LIN"))
+
+
+@query()
+def support_vector_forecast(spark, sf_dir):
+    return _scaled_forecast(spark, sf_dir, support.SupportVector("rbf", size=32))
+
+
+def _hourly_windows(spark, sf_dir, ahead):
+    """A day of hourly values and the hours after it, on the range from 0 to 1 of each series."""
+    s = regrid(event_series(spark, sf_dir), RegridSpec("intrpl", 60, max_gap=1440)).withColumn("row_pos", F.unix_seconds("ts")).withColumn("feature", F.col("series_id"))
+    s = scale.transform(s, scale.fit(s.where("value is not null"))).drop("feature")
+    return stored(scale.split_by_hash(windows.sliding(s, 24, ahead), "i"), "windows")
+
+
+def _network_forecast(rows, net):
+    model = networks.Network(net, epochs=3, slices=4, rate=0.01).fit(rows.where("split = 'train'"), rows.where("split = 'val'"))
+    out = model.predict(rows.where("split = 'test'"))
+    return out.select("series_id", "i", F.transform("y_pred", lambda v: F.round(v, 4)).alias("y_pred"))
+
+
+@query()
+def dense_forecast(spark, sf_dir):
+    return _network_forecast(_hourly_windows(spark, sf_dir, 6), networks.Dense(24, 6, units=32, layers=2))
+
+
+@query()
+def convolution_forecast(spark, sf_dir):
+    return _network_forecast(_hourly_windows(spark, sf_dir, 24), networks.Convolution(24, 24, units=8, layers=2, kernel=3))
+
+
 @query()
 def stl_decomposition(spark, sf_dir):
     s = regrid(event_series(spark, sf_dir), RegridSpec("intrpl", 60, max_gap=1440)).where("value is not null").withColumn("row_pos", F.unix_seconds("ts"))
@@ -709,6 +742,14 @@ def ar_residuals(spark, sf_dir):
     return decompose.forecast_residuals(s, 24).select("series_id", F.col("row_pos").alias("t"), r6("forecast").alias("forecast"), r6("error").alias("error"))
 
 
+@query(f"""WITH {S}, l AS (SELECT series_id, row_pos, value, lag(value) OVER (PARTITION BY series_id ORDER BY ts, row_pos) AS x FROM s),
+ m AS (SELECT series_id, regr_slope(value, x) AS a, regr_intercept(value, x) AS b FROM l GROUP BY 1)
+ SELECT series_id, row_pos, round(b + a * x, 4) AS forecast, round(abs(value - (b + a * x)), 4) AS error FROM l JOIN m USING (series_id)""")
+def ar_first_order(spark, sf_dir):
+    out = decompose.forecast_residuals(event_series(spark, sf_dir), 1)
+    return out.select("series_id", "row_pos", F.round("forecast", 4).alias("forecast"), F.round("error", 4).alias("error"))
+
+
 @query(f"WITH {N} SELECT min(m) AS utc_ref FROM (SELECT max(u) AS m FROM s WHERE value IS NOT NULL GROUP BY series_id)")
 def forecast_reference(spark, sf_dir):
     return forecast.reference_time(event_series(spark, sf_dir, MISSING)).select(us("utc_ref").alias("utc_ref"))
