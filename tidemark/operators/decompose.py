@@ -114,12 +114,13 @@ def decompose(series: DataFrame, period: int, robust: bool = True) -> DataFrame:
 
     Runs jobs: each round's result is written as a table.
     """
+    series = stored(series.select("series_id", "ts", "row_pos", "value"), "series")
     counts = _checked(series).groupBy("series_id").agg(F.count("*").alias("n"))
     short = counts.agg(F.min("n")).first()[0]
     if short is not None and not valid_period(period, short):
         raise ValueError(f"period {period} isn't between 2 and half of {short} rows")
     none = F.lit(None).cast("double")
-    rows = numbered(bucketed(series.select("series_id", "ts", "row_pos", "value")), "i", ORDER).drop("_bucket").withColumn("i", F.col("i") - 1)
+    rows = numbered(bucketed(series), "i", ORDER).drop("_bucket").withColumn("i", F.col("i") - 1)
     rows = rows.join(counts, "series_id").withColumns({"trend": F.lit(0.0), "weight": none})
     rounds = 4 if robust else 1
     for k in range(rounds):
@@ -134,6 +135,7 @@ def decompose(series: DataFrame, period: int, robust: bool = True) -> DataFrame:
             weighted = stored(rows.join(h, "series_id").withColumn("weight", weight).drop("_h", "seasonal", "resid"), "weighted")
             dropped(rows)
             rows = weighted
+    dropped(series)
     return rows.select("series_id", "ts", "row_pos", "value", "trend", "seasonal", "resid")
 
 
@@ -174,7 +176,7 @@ def autoregression(windows: DataFrame, lags: int) -> DataFrame:
 
 def forecast_residuals(series: DataFrame, lags: int) -> DataFrame:
     """Adds forecast and error (absolute) of an autoregressive model of each series; the first `lags` rows have none."""
-    series = _checked(series).select("series_id", "ts", "row_pos", "value")
+    series = _checked(stored(series.select("series_id", "ts", "row_pos", "value"), "series"))
     windows = stored(sliding(series, lags), "windows")
     model = stored(autoregression(windows, lags), "autoregression")
     line = F.aggregate(F.zip_with("x", F.slice("weights", 1, lags), lambda a, b: a * b), F.element_at("weights", -1), lambda s, v: s + v)

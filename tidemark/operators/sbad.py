@@ -1,20 +1,25 @@
-"""Slope-based anomaly detection, iterated to a fixpoint: two automata, so pandas functions per series.
+"""Slope-based anomaly detection, iterated to a fixpoint.
 
-No window form exists, for what a row becomes depends on every removal before it. Parallelism is the number
-of parts: a series may be cut at quiet gaps longer than the automaton can look across (split_gap), which
-leaves the result of each part as it is.
+`detect` is the detection on the rows of one part in order, as a stream's state runs it. `sbad` gives the same rows for series of any
+length by windows over time buckets: what each of the two automata does at a row follows from a few facts about the rows before
+and after it, each of which is carried over bucket bounds.
+
+For the first, whether it is open is decided by the last row that was missing or calm. The second looks at events: jumps,
+breaks (no slope) and time-outs. It is closed after a break or time-out, and the first jump opens it. A run of equal signs that meets it
+open, closes it by its first jump and opens it again by its second. So a run of two jumps or more leaves it open whatever
+was before, and among single jumps after such a run it is open and closed in turn.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.clean import ORDER, fill_gaps
 from tidemark.operators.info import gaps
-from tidemark.operators.ordered import bucketed, running
+from tidemark.operators.ordered import KEY, bucketed, carried, numbered, running
+from tidemark.plans.lineage import dropped, stored
 
 ROUNDS = 50
 
@@ -83,21 +88,86 @@ def detect(minutes: np.ndarray, values: np.ndarray, limit: float, longest: float
     return values
 
 
+def _beside(rows: DataFrame, what: Column, by: str) -> DataFrame:
+    """Adds _p and _n: `what`, a struct, of the row before and of the row after, over bucket bounds too."""
+    inside, across = Window.partitionBy(by, KEY).orderBy("_i"), Window.partitionBy(by).orderBy(KEY)
+    edges = rows.groupBy(by, KEY).agg(F.min_by(what, "_i").alias("_first"), F.max_by(what, "_i").alias("_last"))
+    edges = edges.select(by, KEY, F.lag("_last").over(across).alias("_pe"), F.lead("_first").over(across).alias("_ne"))
+    rows = rows.withColumns({"_pi": F.lag(what).over(inside), "_ni": F.lead(what).over(inside)}).join(edges, [by, KEY])
+    return rows.withColumns({"_p": F.coalesce("_pi", "_pe"), "_n": F.coalesce("_ni", "_ne")}).drop("_pi", "_ni", "_pe", "_ne")
+
+
+def _slope(value: Column, ts: Column, value_before: Column, ts_before: Column) -> Column:
+    """Change in a minute; null where a value is missing, or neither time nor value changes."""
+    change, minutes = value - value_before, (F.unix_micros(ts) - F.unix_micros(ts_before)) / 6e7
+    slope = F.when(minutes != 0, change / F.nullif(minutes, F.lit(0.0))).when(change > 0, F.lit(float("inf"))).when(change < 0, F.lit(float("-inf")))
+    return F.when(~F.isnan(change), slope)
+
+
+def _trimmed(rows: DataFrame, by: str, limit: float) -> DataFrame:
+    """trim_after_missing over whole series: a value goes if the next one is a jump away and the last decisive row wasn't calm."""
+    columns = rows.columns
+    rows = _beside(rows, F.struct("ts", "value"), by)
+    v, t, p, n = F.col("value"), F.col("ts"), F.col("_p"), F.col("_n")
+    decisive = F.when(v.isNull() | p.isNull(), True).when(F.abs(_slope(v, t, p["value"], p["ts"])) <= limit, False)
+    rows = carried(rows.withColumn("_jump", F.abs(_slope(n["value"], n["ts"], v, t)) > limit), "_open", decisive, ["_i"], by=by)
+    return rows.withColumn("value", F.when(~F.coalesce(F.col("_jump") & F.col("_open"), F.lit(False)), v)).select(columns)
+
+
+def _without_excursions(rows: DataFrame, by: str, limit: float, longest: float) -> DataFrame:
+    """remove_excursions over whole series."""
+    columns, micros = rows.columns, longest * 6e7
+    us, jump = F.unix_micros, F.col("kind").isin(-1.0, 1.0)
+    rows = _beside(rows, F.struct("ts", "value"), by)
+    slope = _slope(F.col("value"), F.col("ts"), F.col("_p.value"), F.col("_p.ts"))
+    # 1 and -1: jumps, 0: a break, 2: calm for too long after a jump
+    sure = F.when(slope.isNull(), 0.0).when(F.abs(slope) > limit, F.signum(slope))
+    rows = carried(rows.withColumn("kind", sure), "_e", F.when(F.col("kind").isNotNull(), F.struct("kind", "ts")), ["_i"], own=False, by=by)
+    late = (F.col("_e.kind") != 0) & (us("_p.ts") - us("_e.ts") > micros)
+    rows = rows.withColumns({"kind": F.coalesce("kind", F.when(late, 2.0)), "_before": F.col("_p.ts")}).drop("_p", "_n", "_e")
+    told = stored(rows, "slopes")
+    events = _beside(told.where("kind is not null").select(by, KEY, "_i", "ts", "kind", "_before"), F.struct("kind", "ts"), by)
+    first = jump & ~F.coalesce(F.col("_p.kind").isin(-1.0, 1.0), F.lit(False))
+    start = first | (jump & (F.col("_p.kind") != F.col("kind")))
+    single = start & ~F.coalesce(F.col("_n.kind") == F.col("kind"), F.lit(False))
+    events = events.withColumns({"first": first, "start": start, "anchor": first | (start & ~single), "_since": us("_before") - us("_p.ts")}).drop("_p", "_n")
+    events = running(events, "run", F.col("start").cast("long"), ["_i"], by=by)
+    events = carried(events, "_from", F.when(F.col("anchor"), F.col("run")), ["_i"], own=False, by=by)
+    met_open = F.col("start") & ~F.col("first") & ((F.col("run") - F.col("_from")) % 2 == 1)
+    events = stored(events.withColumn("closing", met_open).select(by, KEY, "_i", "kind", "start", "closing", "_since"), "events")
+    turns = _beside(events, F.struct((jump & ~F.col("closing")).alias("open")), by)
+    was_open = F.coalesce("_p.open", F.lit(False))
+    ended = F.when(F.col("closing"), True).when(was_open & (F.col("kind") == 0), F.col("_since") <= micros).when(was_open & (F.col("kind") == 2), False)
+    opened = jump & ~F.col("closing") & (F.col("start") | ~was_open)
+    turns = carried(turns.withColumns({"_ended": ended, "_opened": opened}).drop("_p", "_n"), "_fate", F.col("_ended"), ["_i"], forward=True, own=False, by=by)
+    mark = F.when(F.col("_opened"), F.coalesce("_fate", F.lit(True))).when(F.col("_ended").isNotNull(), False)
+    marked = told.join(turns.select(by, KEY, "_i", mark.alias("_mark")).where("_mark is not null"), [by, KEY, "_i"], "left")
+    out = carried(marked, "_gone", F.col("_mark"), ["_i"], by=by).withColumn("value", F.when(~F.coalesce("_gone", F.lit(False)), F.col("value")))
+    out = stored(out.select(columns), "excursions")
+    dropped(told, events)
+    return out
+
+
 def sbad(series: DataFrame, max_change: float, max_length: float, max_gap: float | None = None, digits: int | None = None, split_gap: float | None = None) -> DataFrame:
-    """max_change in units a minute, max_length and max_gap in minutes."""
-    schema = series.schema
-    if split_gap is None:
-        parts = series.withColumn("_part", F.lit(0))
-    else:
-        rows = gaps(series).withColumn("_cut", (F.coalesce("gap_s", F.lit(0.0)) > split_gap * 60).cast("long"))
-        parts = running(bucketed(rows), "_part", F.col("_cut"), ORDER).select(*series.columns, "_part")
-
-    def run(df: pd.DataFrame) -> pd.DataFrame:
-        df = df.sort_values(["ts", "row_pos"], kind="stable")
-        minutes = (df["ts"] - df["ts"].iloc[0]).dt.total_seconds().to_numpy() / 60
-        df["value"] = detect(minutes, df["value"].to_numpy(dtype=float), max_change, max_length)
-        return df.drop(columns="_part")
-
-    out = parts.groupBy("series_id", "_part").applyInPandas(run, schema)
-    out = out.withColumn("value", F.when(~F.isnan("value"), F.col("value")))
-    return fill_gaps(out, max_gap, digits)
+    """max_change in units a minute, max_length and max_gap in minutes. Runs jobs: each pass is written as a table.
+
+    split_gap: after a gap longer than so many minutes a series starts anew, as in a stream. Passes end when two in turn have
+    removed nothing anywhere, so a series that is done earlier stays as it is.
+    """
+    by, columns = "series_id", series.columns
+    rows = series.withColumn("value", F.when(~F.isnan("value"), F.col("value")))
+    if split_gap is not None:
+        rows = gaps(rows).withColumn("_cut", (F.coalesce("gap_s", F.lit(0.0)) > split_gap * 60).cast("long"))
+        rows = running(bucketed(rows), "_part", F.col("_cut"), ORDER).withColumn("_series", F.struct("series_id", "_part")).select("_series", *columns)
+        by = "_series"
+    rows = stored(numbered(bucketed(rows), "_i", ORDER, by=by), "sbad")
+    missing, quiet = rows.where("value is null").count(), 0
+    for k in range(2 * ROUNDS):
+        later = stored(_trimmed(rows, by, max_change), "trimmed") if k % 2 == 0 else _without_excursions(rows, by, max_change, max_length)
+        dropped(rows)
+        rows, before = later, missing
+        missing = rows.where("value is null").count()
+        quiet = quiet + 1 if missing == before else 0
+        if quiet == 2:
+            break
+    return fill_gaps(rows.select(columns), max_gap, digits)
