@@ -1,9 +1,10 @@
-"""Near duplicates by the exact Jaccard similarity of word shingles; candidates by MinHash bands.
+"""Near duplicates by the exact Jaccard similarity of word shingles; candidates by SimHash and Golay-code fuzzy hashing.
 
-Two texts are linked if their sets of SHINGLE-word shingles have a Jaccard similarity of at least SIMILARITY.
-BANDS keys of ROWS minima each make the candidates: a pair at the similarity s shares a key with a probability
-of 1 - (1 - s^ROWS)^BANDS, 0.9999 at 0.8 and more above it. Every candidate is confirmed on the whole sets, so
-no pair below the bound links. (SimHash would need about 10 of its 64 bits at this similarity.)
+Two texts are linked if their sets of SHINGLE-word shingles have a Jaccard similarity of at least SIMILARITY. At 0.8
+about 10 of 64 fingerprint bits differ, out of reach of the keys of simhash.classes(). So fingerprints are longer
+here, and a text's keys are the likeliest KEYS sets of Golay codewords of BANDS triples of segments, ranked by the votes
+behind the bits (simhash.likely_keys). A pair at 0.8 shares a key with a probability of about 0.9999, more above it.
+Every candidate is confirmed on the whole sets, so no pair below the bound links.
 
 Equal texts are one node from the start. As in simhash, buckets aren't expanded into pairs: every member is
 first compared with the bucket's smallest node. Where many pairs across components are left, members with too many
@@ -12,7 +13,8 @@ its largest component; at last all members outside that component are compared w
 of other components, for links inside a component change nothing: in buckets of at most SMALL members as pairs of a
 join, in larger ones by blocks of two slices of members, whose bit maps of shingles are compared in numpy and of which only
 pairs come out that the maps allow. A map has four bits or more for each shingle, so long texts are told apart as well as
-short ones, and never rules a linked pair out. The memory of a block is bounded. In a bucket that stays crowded the
+short ones, and never rules a linked pair out; of the pairs that it allows those whose long fingerprints are six standard
+deviations too far apart go. The memory of a block is bounded. In a bucket that stays crowded the
 comparisons of maps (half a byte to one byte a shingle) still grow with the square of its members; the pairs that are
 shuffled and confirmed don't.
 
@@ -28,14 +30,17 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Hasher, cut, drop_tables, joined, map_batches, mix, text_bytes, texts, window_starts, word_bounds
+from tidemark.llm.common import Hasher, cut, drop_tables, joined, map_batches, text_bytes, texts, window_starts, word_bounds
 from tidemark.llm.components import components
+from tidemark.llm.simhash import likely_keys, votes
 
 SHINGLE, SIMILARITY = 5, 0.8
-BANDS, ROWS, SEED = 32, 6, 11
+BANDS, KEYS, SEED = 32, 8, 11
+#: 64-bit words of the long fingerprint: 3 segments of 23 bits for each band.
+WORDS = -(-BANDS * 69 // 64)
 #: A bucket is crowded if the ordered pairs across its components are so many times its members.
 CROWD = 4
 #: Rounds end where one leaves more than this share of the pairs.
@@ -46,12 +51,12 @@ SMALL = 16
 SLICE = 512
 #: The narrowest and the widest bit map of a set, in 64-bit words; a bit for each remainder of a shingle.
 MAP_WORDS, WIDEST = 16, 1024
-#: Shingles whose minima are taken at a time.
-STRETCH = 1 << 15
+#: Sets of fewer shingles aren't judged by their long fingerprints.
+FEW = 64
+#: Texts whose keys are made at a time.
+TEXTS = 32
 
 _HASHER = Hasher(SEED)
-_rng = np.random.default_rng(SEED)
-_FLIP, _TIMES, _JOIN = (_rng.integers(1, 2**63, n, dtype=np.int64).view(np.uint64) | np.uint64(1) for n in (BANDS * ROWS, BANDS * ROWS, BANDS * ROWS))
 
 
 def shingles(column: pa.Array, length: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -75,19 +80,19 @@ def shingles(column: pa.Array, length: int = SHINGLE) -> tuple[np.ndarray, np.nd
 
 
 def bands(hashes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(numbers of the rows with shingles, their BANDS keys)."""
+    """(numbers of the rows with shingles, their BANDS * KEYS keys). Repeated shingles count once, as in the similarity."""
     rows = np.flatnonzero(np.diff(at))
-    least = np.empty((len(rows), BANDS * ROWS), dtype=np.uint64)
-    start, stop = at[:-1][rows], at[1:][rows]
-    i = 0
-    while i < len(rows):
-        j = max(i + 1, int(np.searchsorted(stop, start[i] + STRETCH, side="right")))
-        part, own = hashes[start[i] : stop[j - 1]], start[i:j] - start[i]
-        for k in range(BANDS * ROWS):
-            least[i:j, k] = np.minimum.reduceat((part ^ _FLIP[k]) * _TIMES[k], own)
-        i = j
-    keys = (mix(least) * _JOIN).reshape(len(rows), BANDS, ROWS).sum(2, dtype=np.uint64)
-    return rows, mix(keys + np.arange(BANDS, dtype=np.uint64))
+    keys = np.empty((len(rows), BANDS * KEYS), dtype=np.int64)
+    for i in range(0, len(rows), TEXTS):
+        sets = [np.unique(hashes[at[r] : at[r + 1]]) for r in rows[i : i + TEXTS]]
+        vote = votes(np.concatenate(sets), np.concatenate([[0], np.cumsum([len(x) for x in sets])]), WORDS)
+        keys[i : i + TEXTS] = likely_keys(vote, BANDS, KEYS).reshape(len(sets), -1)
+    return rows, keys
+
+
+def long_print(grams: np.ndarray) -> bytes:
+    """A bit for each vote of a set that is above 0; of no shingles, none."""
+    return np.packbits(votes(grams, np.array([0, len(grams)]), WORDS)[0] > 0).tobytes() if len(grams) else bytes(8 * WORDS)
 
 
 def _marked(docs: DataFrame) -> DataFrame:
@@ -97,8 +102,8 @@ def _marked(docs: DataFrame) -> DataFrame:
         hashes, at, node = shingles(b.column(1))
         rows, keys = bands(hashes, at)
         count = np.zeros(len(node), dtype=np.int64)
-        count[rows] = BANDS
-        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(count)]), pa.int32()), pa.array(keys.reshape(-1).view(np.int64)))
+        count[rows] = BANDS * KEYS
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(count)]), pa.int32()), pa.array(keys.reshape(-1)))
         return pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(node[:, 0]), pa.array(node[:, 1]), lists], names=["doc_id", "digest", "node", "rest", "keys"])
 
     return map_batches(docs, run, "doc_id long, digest long, node long, rest long, keys array<long>")
@@ -137,6 +142,21 @@ def possible(maps_a: np.ndarray, n_a: np.ndarray, maps_b: np.ndarray, n_b: np.nd
     return out
 
 
+def in_reach(print_a: np.ndarray, n_a: np.ndarray, print_b: np.ndarray, n_b: np.ndarray, similarity: float) -> np.ndarray:
+    """Row by row: False if two long fingerprints differ in more bits than those of similar sets do.
+
+    A bit flips with a probability of the angle between the sets over pi; the bound lies six standard deviations above that.
+    Sets of fewer than FEW shingles are always in reach, for their votes are too coarse for it.
+    """
+    bits, flip = 64 * WORDS, np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    most = bits * flip + 6 * np.sqrt(bits * flip * (1 - flip))
+    out = np.minimum(n_a, n_b) < FEW
+    for i in range(0, len(out), 1 << 14):
+        at = slice(i, i + (1 << 14))
+        out[at] |= np.bitwise_count(print_a[at] ^ print_b[at]).sum(1, dtype=np.int64) <= most
+    return out
+
+
 def _block(similarity: float):
     """Of one block (key, low, high): the pairs (u, v) of its two slices, of different components, that may be linked."""
 
@@ -145,6 +165,7 @@ def _block(similarity: float):
         slice_, node, c, n = (block[k].to_numpy() for k in ("slice", "node", "c", "n"))
         shared = block["shared"].to_numpy()  # null: NaN
         maps = block["bits"].combine_chunks()
+        prints = np.frombuffer(b"".join(block["print"].to_pylist()), dtype=np.uint64).reshape(-1, WORDS)
         width, values = maps.value_lengths().to_numpy(), maps.flatten().to_numpy()
         at = np.cumsum(width) - width
         found = [np.empty((0, 2), dtype=np.int64)]
@@ -159,7 +180,8 @@ def _block(similarity: float):
                 # two sets have in common at most what the one of them shares with anyone
                 ok &= ~(np.minimum(shared[a][:, None], shared[b]) < similarity / (1 + similarity) * (n[a][:, None] + n[b]) - 1e-6)
                 i, j = np.nonzero(ok)
-                found.append(np.stack([node[a[i]], node[b[j]]], axis=1))
+                alike = in_reach(prints[a[i]], n[a[i]], prints[b[j]], n[b[j]], similarity)
+                found.append(np.stack([node[a[i[alike]]], node[b[j[alike]]]], axis=1))
         pairs = np.unique(np.sort(np.concatenate(found), axis=1), axis=0)
         return pa.table({"u": pairs[:, 0], "v": pairs[:, 1]})
 
@@ -167,30 +189,41 @@ def _block(similarity: float):
 
 
 def _pairs(asked: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (u, v) of different components in a bucket, all of a small one and those that may be linked of a larger one.
+    """Pairs (u, v) of different components in a bucket that may be linked, by fingerprints, in a larger one by maps first.
 
-    asked: (key, node, c, n, bits, shared); shared is null where it isn't known.
+    asked: (key, node, c, n, bits, print, shared); shared is null where it isn't known.
     """
     sized = asked.join(asked.groupBy("key").agg(F.count("*").alias("members")), "key")
     few = sized.where(F.col("members") <= SMALL)
-    one, other = few.select("key", F.col("node").alias("u"), F.col("c").alias("uc")), few.select("key", F.col("node").alias("v"), F.col("c").alias("vc"))
-    made = one.join(other, "key").where("u < v and uc != vc").select("u", "v")
+    side = lambda x: few.select("key", *[F.col(c).alias(x + c) for c in ("node", "c", "n", "print")])
+    made = side("u").join(side("v"), "key").where("unode < vnode and uc != vc").select("unode", "vnode", "un", "vn", "uprint", "vprint")
+
+    def run(b: pa.RecordBatch) -> pa.RecordBatch:
+        u, v, n_u, n_v = (c.to_numpy() for c in b.columns[:4])
+        prints = [np.frombuffer(b"".join(c.to_pylist()), dtype=np.uint64).reshape(-1, WORDS) for c in b.columns[4:]]
+        ok = in_reach(prints[0], n_u, prints[1], n_v, similarity)
+        return pa.RecordBatch.from_pydict({"u": u[ok], "v": v[ok]})
+
+    made = map_batches(made, run, "u long, v long")
     many = sized.where(F.col("members") > SMALL).withColumn("slices", F.ceil(F.col("members") / SLICE))
     many = many.withColumn("slice", F.pmod(F.xxhash64("node"), "slices")).withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)))
-    many = many.select("key", F.least("slice", "with").alias("low"), F.greatest("slice", "with").alias("high"), "slice", "node", "c", "n", "bits", F.col("shared").cast("double"))
+    many = many.select("key", F.least("slice", "with").alias("low"), F.greatest("slice", "with").alias("high"), "slice", "node", "c", "n", "bits", "print", F.col("shared").cast("double"))
     return made.unionAll(many.groupBy("key", "low", "high").applyInArrow(_block(similarity), "u long, v long")).distinct()
 
 
 def _sets(nodes: DataFrame) -> DataFrame:
-    """(node, grams, bits): the sorted distinct shingles of each (node, text), and their bit map."""
+    """(node, grams, bits, print): the sorted distinct shingles of each (node, text), their bit map and their long fingerprint."""
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         hashes, at, _ = shingles(b.column(1))
         sets = [np.unique(hashes[i:j]) for i, j in zip(at[:-1], at[1:], strict=True)]
         maps = [bit_map(grams, map_words(len(grams))) for grams in sets]
-        return pa.RecordBatch.from_pydict({"node": b.column(0), "grams": pa.array([x.tobytes() for x in sets], pa.binary()), "bits": pa.array(maps, pa.list_(pa.int64()))})
+        prints = [long_print(grams) for grams in sets]
+        return pa.RecordBatch.from_pydict(
+            {"node": b.column(0), "grams": pa.array([x.tobytes() for x in sets], pa.binary()), "bits": pa.array(maps, pa.list_(pa.int64())), "print": pa.array(prints, pa.binary())}
+        )
 
-    return map_batches(nodes, run, "node long, grams binary, bits array<long>")
+    return map_batches(nodes, run, "node long, grams binary, bits array<long>, print binary")
 
 
 def jaccard(a: bytes, b: bytes) -> float:
@@ -278,9 +311,10 @@ def _settle_crowds(told: DataFrame, known: DataFrame, sets: DataFrame, similarit
 def _linked(marked: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
     """(node, component) of every node that is linked to another. docs: (doc_id, text, digest), as marked."""
     keyed = marked.select("node", F.explode("keys").alias("key"))
-    pivots = keyed.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("last")).where("pivot != last").drop("last")
-    # members of buckets in which another node can be found
-    met = cut(keyed.join(pivots, "key").groupBy("key", "node").agg(F.min("pivot").alias("pivot")), "buckets")
+    bucket = Window.partitionBy("key")
+    # members of buckets in which another node can be found; the keys are shuffled once
+    others = keyed.withColumns({"pivot": F.min("node").over(bucket), "last": F.max("node").over(bucket)}).where("pivot != last")
+    met = cut(others.groupBy("key", "node").agg(F.min("pivot").alias("pivot")), "buckets")
     # one text for each node of these
     one = marked.groupBy("node").agg(F.min(F.struct("rest", "digest", "doc_id")).alias("of")).join(met.select("node").distinct(), "node", "left_semi")
     one = one.select("node", F.col("of.doc_id").alias("_id"), F.col("of.digest").alias("_digest"))
@@ -293,8 +327,8 @@ def _linked(marked: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
     pc = told.groupBy("key", "c").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("c", F.struct("n", "c")).alias("pc"))
     apart = cut(told.join(pc, "key"), "apart")
     # only buckets with a member outside the largest component
-    asked = apart.join(apart.where("c != pc").select("key").distinct(), "key", "left_semi").join(sets.select("node", "bits", F.expr("length(grams) div 8").alias("n")), "node")
-    asked = cut(asked.select("key", "node", "c", "n", "bits", "shared"), "asked")
+    asked = apart.join(apart.where("c != pc").select("key").distinct(), "key", "left_semi").join(sets.select("node", "bits", "print", F.expr("length(grams) div 8").alias("n")), "node")
+    asked = cut(asked.select("key", "node", "c", "n", "bits", "print", "shared"), "asked")
     second = _pairs(asked, similarity)
     second = cut(_confirmed(second, sets, similarity), "links")
     linked = cut(components(known.select(F.col("node").alias("u"), F.col("component").alias("v")).unionAll(second)), "linked")
