@@ -87,6 +87,40 @@ def test_crowded_buckets_lose_no_link(spark, monkeypatch, small):
     assert sorted(r["doc_id"] for r in near.keep_first(docs).collect()) == sorted({group.index(g) for g in group})
 
 
+@pytest.mark.parametrize("gather", [0, 2])
+def test_gathered_buckets_lose_no_link(spark, monkeypatch, gather):
+    """The same groups whether buckets that share members are compared together or one by one; pairs of a block in small parts."""
+    monkeypatch.setattr(near, "GATHER", gather)
+    monkeypatch.setattr(near, "PIVOTS", 1)
+    monkeypatch.setattr(near, "SMALL", 4)
+    monkeypatch.setattr(near, "SLICE", 16)
+    monkeypatch.setattr(near, "PAIRS", 7)
+    base = prose(120)
+    texts = [" ".join(changed(base, k)) for k in (1, 2, 3, 4, 6, 9) for _ in range(12)] + planted()[:30]
+    rng.shuffle(texts)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    group = groups(texts)
+    assert sorted(r["doc_id"] for r in near.keep_first(docs).collect()) == sorted({group.index(g) for g in group})
+
+
+def test_members_of_many_buckets_are_compared_in_one_place(spark):
+    """Near copies that don't link meet in many buckets; their rows grow with the members, not with members times buckets.
+
+    A bucket whose members know no others stays by itself, and pairs of each bucket keep a place in common.
+    """
+    draw = random.Random(5)
+    buckets = {k: draw.sample(range(60), 30) for k in range(40)} | {100: [200, 201], 101: [300, 301, 302]}
+    rows = [(k, n, 0 if n < 3 else n, None, None) for k, nodes in buckets.items() for n in nodes]
+    told = spark.createDataFrame(rows, "key long, node long, c long, size long, shared long").repartition(3)
+    got = [(r["at"], r["node"], r["c"]) for r in near._apart(told).collect()]
+    assert len(got) == 60 + 2 + 3
+    places = {n: {at for at, node, _ in got if node == n} for n in {node for _, node, _ in got}}
+    assert all(places[u] & places[v] for nodes in buckets.values() for u in nodes for v in nodes)
+    assert all(c == (0 if n < 3 else n) for _, n, c in got)
+    one = spark.createDataFrame([(1, n, 0, None, None) for n in range(5)], told.schema)
+    assert near._apart(one).count() == 0
+
+
 def test_texts_that_share_half_a_digest_stay(spark, monkeypatch):
     """Where all texts of a node differ in the other half of their digests, none goes as a copy of another."""
     texts = [" ".join(prose(60)) for _ in range(6)]

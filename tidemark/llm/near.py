@@ -6,15 +6,18 @@ here, and a text's keys are the likeliest KEYS sets of Golay codewords of BANDS
 behind the bits (simhash.likely_keys). A pair at 0.8 shares a key with a probability of about 0.9999, more above it.
 Every candidate is confirmed on the whole sets, so no pair below the bound links.
 
-Equal texts are one node from the start. As in simhash, buckets aren't expanded into pairs: every member is
-first compared with the bucket's smallest node. Where many pairs across components are left, members with too many
+Equal texts are one node from the start. As in simhash, buckets aren't expanded into pairs: every node is
+first compared with the smallest nodes of its buckets, with the PIVOTS that it meets most often. Where many pairs across components are left, members with too many
 shingles of their own to have a link leave the bucket, and the others are compared in rounds with single members of
 its largest component; at last all members outside that component are compared with the members
 of other components, for links inside a component change nothing: in buckets of at most SMALL members as pairs of a
 join, in larger ones by blocks of two slices of members, whose bit maps of shingles are compared in numpy and of which only
-pairs come out that the maps allow. A map has four bits or more for each shingle, so long texts are told apart as well as
+pairs come out that the maps allow. Near copies meet in many buckets, so buckets that share members are gathered before: a bucket
+goes to the root that its members know by two hops, where each of them is once, in however many of its buckets. Where that means
+more than GATHER times the comparisons of the buckets by themselves, they stay as they are.
+A map has four bits or more for each shingle, so long texts are told apart as well as
 short ones, and never rules a linked pair out; of the pairs that it allows those whose long fingerprints are six standard
-deviations too far apart go. The memory of a block is bounded. In a bucket that stays crowded the
+deviations too far apart go. The memory of a block is bounded. In a place that stays crowded the
 comparisons of maps (half a byte to one byte a shingle) still grow with the square of its members; the pairs that are
 shuffled and confirmed don't.
 
@@ -41,6 +44,8 @@ SHINGLE, SIMILARITY = 5, 0.8
 BANDS, KEYS, SEED = 32, 8, 11
 #: 64-bit words of the long fingerprint: 3 segments of 23 bits for each band.
 WORDS = -(-BANDS * 69 // 64)
+#: Smallest nodes of its buckets with which a node is compared first; what that leaves apart is compared later.
+PIVOTS = 4
 #: A bucket is crowded if the ordered pairs across its components are so many times its members.
 CROWD = 4
 #: Rounds end where one leaves more than this share of the pairs.
@@ -49,6 +54,10 @@ ENOUGH = 0.8
 SMALL = 16
 #: Members of a larger bucket in a slice; a block compares two slices.
 SLICE = 512
+#: Pairs of a block whose long fingerprints are compared at a time.
+PAIRS = 1 << 13
+#: Buckets are compared together if that takes at most so many times the comparisons of them one by one.
+GATHER = 2
 #: The narrowest and the widest bit map of a set, in 64-bit words; a bit for each remainder of a shingle.
 MAP_WORDS, WIDEST = 16, 1024
 #: Sets of fewer shingles aren't judged by their long fingerprints.
@@ -158,7 +167,7 @@ def in_reach(print_a: np.ndarray, n_a: np.ndarray, print_b: np.ndarray, n_b: np.
 
 
 def _block(similarity: float):
-    """Of one block (key, low, high): the pairs (u, v) of its two slices, of different components, that may be linked."""
+    """Of one block (at, low, high): the pairs (u, v) of its two slices, of different components, that may be linked."""
 
     def run(block: pa.Table) -> pa.Table:
         low, high = block["low"][0].as_py(), block["high"][0].as_py()
@@ -180,23 +189,49 @@ def _block(similarity: float):
                 # two sets have in common at most what the one of them shares with anyone
                 ok &= ~(np.minimum(shared[a][:, None], shared[b]) < similarity / (1 + similarity) * (n[a][:, None] + n[b]) - 1e-6)
                 i, j = np.nonzero(ok)
-                alike = in_reach(prints[a[i]], n[a[i]], prints[b[j]], n[b[j]], similarity)
-                found.append(np.stack([node[a[i[alike]]], node[b[j[alike]]]], axis=1))
+                for k in range(0, len(i), PAIRS):
+                    x, y = a[i[k : k + PAIRS]], b[j[k : k + PAIRS]]
+                    alike = in_reach(prints[x], n[x], prints[y], n[y], similarity)
+                    found.append(np.stack([node[x[alike]], node[y[alike]]], axis=1))
         pairs = np.unique(np.sort(np.concatenate(found), axis=1), axis=0)
         return pa.table({"u": pairs[:, 0], "v": pairs[:, 1]})
 
     return run
 
 
-def _pairs(asked: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (u, v) of different components in a bucket that may be linked, by fingerprints, in a larger one by maps first.
+def _apart(told: DataFrame) -> DataFrame:
+    """(at, node, c, shared): members of buckets that hold more than one component, a node once in each place.
 
-    asked: (key, node, c, n, bits, print, shared); shared is null where it isn't known.
+    A bucket's hub is the member with the smallest hash of those outside its largest component, a member's label the first hub
+    of its buckets, and a bucket's root the first label of its members. Its place is its root, or itself where the members of
+    the root's buckets are too many for the pairs in these.
     """
-    sized = asked.join(asked.groupBy("key").agg(F.count("*").alias("members")), "key")
-    few = sized.where(F.col("members") <= SMALL)
-    side = lambda x: few.select("key", *[F.col(c).alias(x + c) for c in ("node", "c", "n", "print")])
-    made = side("u").join(side("v"), "key").where("unode < vnode and uc != vc").select("unode", "vnode", "un", "vn", "uprint", "vprint")
+    bucket, own = Window.partitionBy("key"), Window.partitionBy("key", "c")
+    of = told.withColumn("members", F.count("*").over(bucket)).withColumn("n", F.count("*").over(own)).withColumn("most", F.max(F.struct("n", "c")).over(bucket))
+    of = of.withColumn("hub", F.min(F.when(F.col("c") != F.col("most.c"), F.struct(F.xxhash64("node").alias("hash"), "node"))).over(bucket)).where("hub is not null")
+    of = of.withColumn("label", F.min("hub").over(Window.partitionBy("node"))).withColumn("root", F.min("label").over(bucket))
+    of = cut(of.select("key", "members", F.col("root.node").alias("root"), "node", "c", "shared"), "rooted")
+    met = of.groupBy("root", "node").agg(F.first("c").alias("c"), F.first("shared").alias("shared"), F.sum("members").alias("compared"))
+    met = met.withColumns({"all": F.count("*").over(Window.partitionBy("root")), "compared": F.sum("compared").over(Window.partitionBy("root"))})
+    met = cut(met.withColumn("gathered", F.col("all") * F.col("all") <= GATHER * F.col("compared")), "gathered")
+    alone = of.join(met.where("not gathered").select("root").distinct(), "root", "left_semi")
+    place = lambda by: F.struct((F.lit(by) == "key").alias("alone"), F.col(by).alias("id")).alias("at")
+    out = met.where("gathered").select(place("root"), "node", "c", "shared").unionAll(alone.select(place("key"), "node", "c", "shared"))
+    out = cut(out, "apart")
+    drop_tables(of, met)
+    return out
+
+
+def _pairs(apart: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (u, v) of different components in one place that may be linked, by fingerprints, in a larger one by maps first.
+
+    apart: (at, node, c, shared); shared is null where it isn't known.
+    """
+    sized = apart.withColumn("members", F.count("*").over(Window.partitionBy("at")))
+    of = sets.select("node", "bits", "print", F.expr("length(grams) div 8").alias("n"))
+    few = sized.where(F.col("members") <= SMALL).join(of.drop("bits"), "node")
+    side = lambda x: few.select("at", *[F.col(c).alias(x + c) for c in ("node", "c", "n", "print")])
+    made = side("u").join(side("v"), "at").where("unode < vnode and uc != vc").select("unode", "vnode", "un", "vn", "uprint", "vprint")
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         u, v, n_u, n_v = (c.to_numpy() for c in b.columns[:4])
@@ -206,9 +241,10 @@ def _pairs(asked: DataFrame, similarity: float) -> DataFrame:
 
     made = map_batches(made, run, "u long, v long")
     many = sized.where(F.col("members") > SMALL).withColumn("slices", F.ceil(F.col("members") / SLICE))
-    many = many.withColumn("slice", F.pmod(F.xxhash64("node"), "slices")).withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)))
-    many = many.select("key", F.least("slice", "with").alias("low"), F.greatest("slice", "with").alias("high"), "slice", "node", "c", "n", "bits", "print", F.col("shared").cast("double"))
-    return made.unionAll(many.groupBy("key", "low", "high").applyInArrow(_block(similarity), "u long, v long")).distinct()
+    many = many.withColumn("slice", F.pmod(F.xxhash64("node"), "slices")).join(of, "node")
+    many = many.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)))
+    many = many.select("at", F.least("slice", "with").alias("low"), F.greatest("slice", "with").alias("high"), "slice", "node", "c", "n", "bits", "print", F.col("shared").cast("double"))
+    return made.unionAll(many.groupBy("at", "low", "high").applyInArrow(_block(similarity), "u long, v long")).distinct()
 
 
 def _sets(nodes: DataFrame) -> DataFrame:
@@ -320,19 +356,17 @@ def _linked(marked: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
     one = one.select("node", F.col("of.doc_id").alias("_id"), F.col("of.digest").alias("_digest"))
     found = docs.join(one, (F.col("digest") == F.col("_digest")) & F.col("doc_id").eqNullSafe(F.col("_id"))).groupBy("node").agg(F.first("text").alias("text"))
     sets = cut(_sets(found), "sets")
-    first = _confirmed(met.where("node != pivot").select(F.col("node").alias("u"), F.col("pivot").alias("v")).distinct(), sets, similarity)
+    asked = met.where("node != pivot").groupBy("node", "pivot").agg(F.count("*").alias("n"))
+    asked = asked.withColumn("nth", F.row_number().over(Window.partitionBy("node").orderBy(F.desc("n"), "pivot"))).where(F.col("nth") <= PIVOTS)
+    first = _confirmed(asked.select(F.col("node").alias("u"), F.col("pivot").alias("v")), sets, similarity)
     known = cut(components(first), "components")
     told = cut(met.join(known, "node", "left").select("key", "node", F.coalesce("component", "node").alias("c")), "labelled")
     told, known = _settle_crowds(told, known, sets, similarity)
-    pc = told.groupBy("key", "c").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("c", F.struct("n", "c")).alias("pc"))
-    apart = cut(told.join(pc, "key"), "apart")
-    # only buckets with a member outside the largest component
-    asked = apart.join(apart.where("c != pc").select("key").distinct(), "key", "left_semi").join(sets.select("node", "bits", "print", F.expr("length(grams) div 8").alias("n")), "node")
-    asked = cut(asked.select("key", "node", "c", "n", "bits", "print", "shared"), "asked")
-    second = _pairs(asked, similarity)
+    apart = _apart(told)
+    second = _pairs(apart, sets, similarity)
     second = cut(_confirmed(second, sets, similarity), "links")
     linked = cut(components(known.select(F.col("node").alias("u"), F.col("component").alias("v")).unionAll(second)), "linked")
-    drop_tables(met, sets, known, told, apart, asked, second)
+    drop_tables(met, sets, known, told, apart, second)
     return linked
 
 
