@@ -5,6 +5,7 @@ import datetime as dt
 import numpy as np
 import pytest
 
+from tidemark.operators.clean import fill_gaps
 from tidemark.operators.sbad import detect
 from tidemark.plans.preparation import CleanSpec, cleaned
 
@@ -68,3 +69,10 @@ def test_cleaning_chain(spark):
         mine = np.array([np.nan if got[k, i] is None else got[k, i] for i in range(len(v))])
         assert mine == pytest.approx(expected, abs=1e-8, nan_ok=True), k
     assert 0 < sum(x is None for x in got.values()) < len(rows)
+
+
+def test_missing_between_two_values_at_one_time_stays(spark):
+    """There is no line between two values at one time; the others are filled."""
+    rows = [("a", START, 1.0, 0), ("a", START, None, 1), ("a", START, 3.0, 2), ("a", START + dt.timedelta(minutes=1), None, 3), ("a", START + dt.timedelta(minutes=2), 5.0, 4)]
+    out = fill_gaps(spark.createDataFrame(rows, "series_id string, ts timestamp, value double, row_pos long"), 60)
+    assert [r["value"] for r in sorted(out.collect(), key=lambda r: r["row_pos"])] == [1.0, None, 3.0, 4.0, 5.0]

@@ -5,6 +5,7 @@ import datetime as dt
 import numpy as np
 import pytest
 
+from tidemark.operators import sbad as module
 from tidemark.operators.sbad import detect, sbad
 
 SCHEMA = "series_id string, ts timestamp, value double, row_pos long, note int"
@@ -42,6 +43,30 @@ def test_equal_to_the_whole_series(spark, longest):
         assert [got[k, i] for i in range(len(values))] == [None if np.isnan(v) else v for v in expected], k
 
 
+@pytest.mark.parametrize("chunk", [1, 12, 60])
+def test_stretches_settle_by_chunks_or_by_windows(spark, monkeypatch, chunk):
+    """Stretches between missing values, some longer than a chunk, some at a series' end: the rows of whole series."""
+    monkeypatch.setattr(module, "CHUNK", chunk)
+    series = {f"s{k}": made(n, 20 + k, share) for k, (n, share) in enumerate([(500, 0.1), (500, 0.5), (300, 0.02), (1, 0), (45, 0.4)])}
+    series["calm"] = (30.0 * np.arange(150), np.zeros(150))
+    got = {(r["series_id"], r["row_pos"]): r["value"] for r in sbad(frame(spark, series), 1.0, 90).collect()}
+    assert len(got) == sum(len(m) for m, _ in series.values())
+    for k, (minutes, values) in series.items():
+        expected = detect(minutes - minutes[0], values, 1.0, 90)
+        assert [got[k, i] for i in range(len(values))] == [None if np.isnan(v) else v for v in expected], k
+
+
+def test_jobs_do_not_grow_with_the_passes(spark):
+    """A series that takes many passes is settled in the jobs of one pass where its stretches fit a chunk."""
+    jobs = lambda: spark.sparkContext._jsc.sc().dagScheduler().numTotalJobs()
+    used = []
+    for share in (0.0, 0.6):
+        before = jobs()
+        sbad(frame(spark, {"a": made(900, 2, share)}), 1.0, 45).collect()
+        used.append(jobs() - before)
+    assert used[1] <= used[0] + 5
+
+
 def test_empty_and_equal_times(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert sbad(empty, 1.0, 30).collect() == []

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalar import round_even
-from tidemark.operators.ordered import bucketed, carried, numbered, running
+from tidemark.operators.ordered import around, bucketed, carried, numbered, running
 from tidemark.operators.quantiles import quantiles
 
 ORDER = ["ts", "row_pos"]
@@ -41,15 +41,15 @@ def slope(series: DataFrame) -> DataFrame:
 
 
 def fill_gaps(series: DataFrame, max_minutes: float | None, digits: int | None = None) -> DataFrame:
-    """Missing values between two known ones at most so far apart, on the line between them; the ends stay."""
+    """Missing values between two known ones at most so far apart, on the line between them; the ends stay, and what lies between equal times."""
     if max_minutes is None:
         return series
     known = F.when(F.col("value").isNotNull(), F.struct("ts", "value"))
-    rows = carried(bucketed(series), "_p", known, ORDER)
-    rows = carried(rows, "_n", known, ORDER, forward=True)
+    rows = around(bucketed(series), known, ORDER)
     t, tp, tn = F.unix_micros("ts"), F.unix_micros("_p.ts"), F.unix_micros("_n.ts")
     gap = tn - tp
-    line = F.col("_p.value") + (t - tp) / 6e7 * ((F.col("_n.value") - F.col("_p.value")) / (gap / 6e7))
+    # between two known values at one time there is no line
+    line = F.col("_p.value") + (t - tp) / 6e7 * ((F.col("_n.value") - F.col("_p.value")) / F.nullif(gap / 6e7, F.lit(0.0)))
     value = F.when(F.col("value").isNotNull(), F.col("value")).when(gap <= max_minutes * 6e7, round_even(line, digits))
     return rows.withColumn("value", value).drop("_p", "_n", "_bucket")
 
@@ -92,7 +92,7 @@ def fill_linear_rows(series: DataFrame, limit: int | None = None, trailing: bool
     """
     rows = numbered(bucketed(series), "_i", ORDER)
     known = F.when(F.col("value").isNotNull(), F.struct(F.col("_i").alias("i"), F.col("value").alias("v")))
-    rows = carried(carried(rows, "_p", known, ORDER), "_n", known, ORDER, forward=True)
+    rows = around(rows, known, ORDER)
     line = F.col("_p.v") + (F.col("_n.v") - F.col("_p.v")) * (F.col("_i") - F.col("_p.i")) / (F.col("_n.i") - F.col("_p.i"))
     value = F.when(F.col("value").isNotNull(), F.col("value")).when(F.col("_n").isNotNull(), line)
     if trailing:

@@ -8,11 +8,18 @@ For the first, whether it is open is decided by the last row that was missing or
 breaks (no slope) and time-outs. It is closed after a break or time-out, and the first jump opens it. A run of equal signs that meets it
 open, closes it by its first jump and opens it again by its second. So a run of two jumps or more leaves it open whatever
 was before, and among single jumps after such a run it is open and closed in turn.
+
+A missing value stays missing and resets both automata, so the rows between two of them settle by themselves, whatever the number of
+passes elsewhere. Stretches of at most CHUNK rows are dealt in chunks and settled by `detect` at once; only longer ones take passes
+by windows, each of which cuts them further.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,12 +29,16 @@ from tidemark.operators.ordered import KEY, bucketed, carried, numbered, running
 from tidemark.plans.lineage import dropped, stored
 
 ROUNDS = 50
+#: Rows between missing ones that a task may settle; a chunk holds fewer than twice as many.
+CHUNK = 50_000
+#: Microseconds.
+MINUTE = 6e7
 
 
-def slopes(minutes: np.ndarray, values: np.ndarray) -> np.ndarray:
+def slopes(times: np.ndarray, values: np.ndarray, minute: float = 1.0) -> np.ndarray:
     out = np.full(len(values), np.nan)
     with np.errstate(divide="ignore", invalid="ignore"):
-        out[1:] = np.diff(values) / np.diff(minutes)
+        out[1:] = np.diff(values) / (np.diff(times) / minute)
     return out
 
 
@@ -67,24 +78,24 @@ def remove_excursions(minutes: np.ndarray, values: np.ndarray, slope: np.ndarray
         values[start:] = np.nan
 
 
-def detect(minutes: np.ndarray, values: np.ndarray, limit: float, longest: float) -> np.ndarray:
-    """Values with anomalies made NaN: both passes in turn until three counts of removals are equal."""
+def detect(times: np.ndarray, values: np.ndarray, limit: float, longest: float, minute: float = 1.0, rounds: int = ROUNDS) -> np.ndarray:
+    """Values with anomalies made NaN: both passes in turn until three counts of removals are equal. minute: in units of times."""
     values = values.astype(float).copy()
-    slope, counts, before = slopes(minutes, values), [0], int(np.isnan(values).sum())
+    slope, counts, before = slopes(times, values, minute), [0], int(np.isnan(values).sum())
 
     def settled() -> bool:
         counts.append(int(np.isnan(values).sum()) - before)
         return len(counts) >= 3 and len(set(counts[-3:])) == 1
 
-    for _ in range(ROUNDS):
+    for _ in range(rounds):
         trim_after_missing(values, slope, limit)
         if settled():
             break
-        slope = slopes(minutes, values)
-        remove_excursions(minutes, values, slope, limit, longest)
+        slope = slopes(times, values, minute)
+        remove_excursions(times, values, slope, limit, longest * minute)
         if settled():
             break
-        slope = slopes(minutes, values)
+        slope = slopes(times, values, minute)
     return values
 
 
@@ -148,11 +159,52 @@ def _without_excursions(rows: DataFrame, by: str, limit: float, longest: float)
     return out
 
 
+def _stretches(rows: DataFrame, by: str) -> DataFrame:
+    """Adds _from, the number of the last missing row up to this one (0: none), and _end, that of the series' last row."""
+    gone, every = F.when(F.col("value").isNull(), F.col("_i")), Window.unboundedPreceding
+    inside = F.max(gone).over(Window.partitionBy(by, KEY).orderBy("_i").rowsBetween(every, 0))
+    edges = rows.groupBy(by, KEY).agg(F.max(gone).alias("_gone"), F.max("_i").alias("_top"))
+    edge = F.max("_gone").over(Window.partitionBy(by).orderBy(KEY).rowsBetween(every, -1))
+    edges = edges.select(by, KEY, edge.alias("_edge"), F.max("_top").over(Window.partitionBy(by)).alias("_end"))
+    return rows.withColumn("_inside", inside).join(edges, [by, KEY]).withColumn("_from", F.coalesce("_inside", "_edge", F.lit(0))).drop("_inside", "_edge")
+
+
+def _settle(columns: list[str], limit: float, longest: float, rounds: int) -> Callable[[pa.Table], pa.Table]:
+    """Of one chunk, whole stretches of a series: its rows with anomalies made missing."""
+
+    def run(chunk: pa.Table) -> pa.Table:
+        chunk = chunk.sort_by("_i")
+        times, values = chunk["ts"].cast(pa.int64()).to_numpy(), np.array(chunk["value"].to_numpy(), dtype=float)
+        ends_series = chunk["_i"][-1].as_py() == chunk["_end"][0].as_py()
+        starts = np.union1d([0], np.flatnonzero(np.isnan(values)))
+        jumps = np.add.reduceat(np.abs(slopes(times, values, MINUTE)) > limit, starts)
+        for a, b in zip(starts[jumps > 0].tolist(), np.append(starts[1:], len(values))[jumps > 0].tolist(), strict=True):
+            if b == len(values) and ends_series:
+                values[a:] = detect(times[a:], values[a:], limit, longest, MINUTE, rounds)
+            else:  # a missing row follows
+                values[a:b] = detect(np.append(times[a:b], times[b - 1]), np.append(values[a:b], np.nan), limit, longest, MINUTE, rounds)[:-1]
+        return chunk.set_column(chunk.column_names.index("value"), "value", pa.array(values, from_pandas=True)).select(columns)
+
+    return run
+
+
+def _split(rows: DataFrame, by: str) -> tuple[DataFrame, DataFrame | None]:
+    """(rows of stretches of at most CHUNK rows, the others), with _from and _end; after each of the others a missing row is added."""
+    runs = rows.groupBy(by, "_from", "_end").agg(F.count("*").alias("_n"), F.max("_i").alias("_last"), F.max("ts").alias("ts"), F.max(KEY).alias(KEY))
+    long = stored(runs.where(F.col("_n") > CHUNK), "long")
+    if long.isEmpty():
+        dropped(long)
+        return rows, None
+    which = long.select(by, "_from")
+    added = long.where("_last < _end").select(by, "_from", "_end", KEY, "ts", (F.col("_last") + 1).alias("_i"), F.lit(True).alias("_added"))
+    return rows.join(which, [by, "_from"], "left_anti"), rows.join(which, [by, "_from"], "left_semi").unionByName(added, allowMissingColumns=True)
+
+
 def sbad(series: DataFrame, max_change: float, max_length: float, max_gap: float | None = None, digits: int | None = None, split_gap: float | None = None) -> DataFrame:
     """max_change in units a minute, max_length and max_gap in minutes. Runs jobs: each pass is written as a table.
 
-    split_gap: after a gap longer than so many minutes a series starts anew, as in a stream. Passes end when two in turn have
-    removed nothing anywhere, so a series that is done earlier stays as it is.
+    split_gap: after a gap longer than so many minutes a series starts anew, as in a stream. Passes over long stretches end when
+    two in turn have removed nothing anywhere, or no stretch is long any more.
     """
     by, columns = "series_id", series.columns
     rows = series.withColumn("value", F.when(~F.isnan("value"), F.col("value")))
@@ -160,14 +212,29 @@ def sbad(series: DataFrame, max_change: float, max_length: float, max_gap: float
         rows = gaps(rows).withColumn("_cut", (F.coalesce("gap_s", F.lit(0.0)) > split_gap * 60).cast("long"))
         rows = running(bucketed(rows), "_part", F.col("_cut"), ORDER).withColumn("_series", F.struct("series_id", "_part")).select("_series", *columns)
         by = "_series"
-    rows = stored(numbered(bucketed(rows), "_i", ORDER, by=by), "sbad")
-    missing, quiet = rows.where("value is null").count(), 0
-    for k in range(2 * ROUNDS):
-        later = stored(_trimmed(rows, by, max_change), "trimmed") if k % 2 == 0 else _without_excursions(rows, by, max_change, max_length)
+    # even numbers: an odd one is that of an added row
+    rows = stored(numbered(bucketed(rows), "_i", ORDER, by=by).withColumns({"_i": F.col("_i") * 2, "_added": F.lit(False)}), "sbad")
+    done = []
+    for k in range(ROUNDS):
+        told = stored(_stretches(rows, by), "stretches")
         dropped(rows)
-        rows, before = later, missing
-        missing = rows.where("value is null").count()
-        quiet = quiet + 1 if missing == before else 0
-        if quiet == 2:
+        short, long = _split(told, by)
+        chunks = short.withColumn("_chunk", F.floor(F.col("_from") / (2 * CHUNK))).groupBy(by, "_chunk")
+        kept = [*columns, "_added"]
+        done.append(stored(chunks.applyInArrow(_settle(kept, max_change, max_length, ROUNDS - k), short.select(kept).schema), "settled"))
+        if long is None:
+            dropped(told)
+            break
+        rest = stored(long.drop("_from", "_end"), "rest")
+        dropped(told)
+        trimmed = stored(_trimmed(rest, by, max_change), "trimmed")
+        rows = _without_excursions(trimmed, by, max_change, max_length)
+        missing = [t.where("value is null").count() for t in (rest, rows)]
+        dropped(rest, trimmed)
+        if missing[0] == missing[1] or k == ROUNDS - 1:
+            done.append(rows.select(kept))
             break
-    return fill_gaps(rows.select(columns), max_gap, digits)
+    out = done[0]
+    for other in done[1:]:
+        out = out.unionByName(other)
+    return fill_gaps(out.where("not _added").select(columns), max_gap, digits)

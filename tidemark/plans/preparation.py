@@ -52,15 +52,16 @@ class CleanSpec:
 def cleaned(series: DataFrame, spec: CleanSpec) -> DataFrame:
     """Constant runs, zeros, range and slopes, each followed by gap filling, then short runs.
 
-    Each step's result is checkpointed, so this runs jobs.
+    Each filled result is checkpointed, so this runs jobs.
     """
     columns = series.columns
 
     def fill(df: DataFrame) -> DataFrame:
-        return checkpointed(clean.fill_gaps(checkpointed(df), spec.max_gap, spec.digits).select(columns))
+        return checkpointed(clean.fill_gaps(df, spec.max_gap, spec.digits).select(columns))
 
     if spec.constant_min is not None:
-        series = fill(clean.drop_constant_runs(series, spec.constant_min))
+        # filling reads its input twice; the other steps below are cheap to read again
+        series = fill(checkpointed(clean.drop_constant_runs(series, spec.constant_min)))
     if spec.zeros:
         series = fill(clean.drop_zeros(series))
     if spec.low is not None or spec.high is not None:
