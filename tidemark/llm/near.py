@@ -283,12 +283,18 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFram
 
 
 def _crowds(told: DataFrame, n: int) -> tuple[DataFrame, int]:
-    """(key, pairs, pc, pivot) of the crowded buckets: a member of the largest component, another one for each n; and all pairs."""
-    of = told.groupBy("key", "c").agg(F.count("*").alias("n"), F.min_by("node", F.xxhash64("node", F.lit(n))).alias("one"))
-    of = of.groupBy("key").agg(F.sum("n").alias("all"), F.sum(F.col("n") * F.col("n")).alias("same"), F.max_by(F.struct("c", "one"), F.struct("n", "c")).alias("most"))
-    of = of.withColumn("pairs", F.expr("all * all - same")).where(F.col("pairs") > CROWD * F.col("all"))
-    crowds = cut(of.select("key", "pairs", F.col("most.c").alias("pc"), F.col("most.one").alias("pivot")), "crowds")
-    return crowds, crowds.agg(F.sum("pairs")).first()[0] or 0
+    """(key, node, pivot, outside, cross) of the members of crowded buckets, and the ordered pairs across components in them.
+
+    pivot: a member of the bucket's largest component, another one for each n; outside: whether the node isn't in that;
+    cross: members of other components than the node's.
+    """
+    bucket = Window.partitionBy("key")
+    of = told.withColumn("all", F.count("*").over(bucket)).withColumn("n", F.count("*").over(Window.partitionBy("key", "c")))
+    of = of.withColumns({"cross": F.col("all") - F.col("n"), "most": F.max(F.struct("n", "c")).over(bucket)}).withColumn("pairs", F.sum("cross").over(bucket))
+    inside = F.col("c") == F.col("most.c")
+    of = of.withColumn("pivot", F.min(F.when(inside, F.struct(F.xxhash64("node", F.lit(n)).alias("hash"), "node"))).over(bucket))
+    crowds = cut(of.where(F.col("pairs") > CROWD * F.col("all")).select("key", "node", F.col("pivot.node").alias("pivot"), (~inside).alias("outside"), "cross"), "crowds")
+    return crowds, crowds.agg(F.sum("cross")).first()[0] or 0
 
 
 def _without_lone(told: DataFrame, crowds: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -302,7 +308,7 @@ def _without_lone(told: DataFrame, crowds: DataFrame, sets: DataFrame, similarit
             grams = np.frombuffer(raw, dtype=np.int64)
             yield pa.RecordBatch.from_pydict({"gram": grams, "node": np.full(len(grams), node)})
 
-    inside = told.join(crowds.select("key"), "key").select("key", "node")
+    inside = crowds.select("key", "node")
     members = sets.join(inside.select("node").distinct(), "node", "left_semi")
     alone = map_batches(members.select("node", "grams"), run, "gram long, node long").groupBy("gram").agg(F.count("*").alias("n"), F.min("node").alias("node")).where("n = 1")
     # of a set that is linked no more than this share is missing in the other
@@ -336,7 +342,7 @@ def _settle_crowds(told: DataFrame, known: DataFrame, sets: DataFrame, similarit
             drop_tables(crowds)
             return told, known
         before = left
-        asked = told.join(crowds, "key").where("c != pc").select(F.col("node").alias("u"), F.col("pivot").alias("v")).distinct()
+        asked = crowds.where("outside").select(F.col("node").alias("u"), F.col("pivot").alias("v")).distinct()
         links = known.select(F.col("node").alias("u"), F.col("component").alias("v")).unionAll(_confirmed(asked, sets, similarity))
         merged = cut(components(links), "components")
         later = cut(told.drop("c").join(merged, "node", "left").select("key", "node", F.coalesce("component", "node").alias("c"), "size", "shared"), "labelled")
