@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Hasher, cut, drop_tables, joined, map_batches, text_bytes, texts, window_starts, word_bounds
+from tidemark.llm.common import Hasher, cut, drop_tables, give_back, joined, map_batches, text_bytes, texts, window_starts, word_bounds
 from tidemark.llm.components import components
 from tidemark.llm.simhash import likely_keys, votes
 
@@ -194,6 +194,8 @@ def _block(similarity: float):
                     alike = in_reach(prints[x], n[x], prints[y], n[y], similarity)
                     found.append(np.stack([node[x[alike]], node[y[alike]]], axis=1))
         pairs = np.unique(np.sort(np.concatenate(found), axis=1), axis=0)
+        del block, maps, values, prints, found
+        give_back()
         return pa.table({"u": pairs[:, 0], "v": pairs[:, 1]})
 
     return run

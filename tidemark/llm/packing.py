@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.bpe import encoded
-from tidemark.llm.common import bounded_batches, cut, texts
+from tidemark.llm.common import bounded_batches, cut, give_back, texts
 
 #: Open windows of a partition.
 OPEN = 32
@@ -131,6 +131,8 @@ def pack(docs: DataFrame, vocab_path: str, size: int = 2048, end_id: int = 1, op
                 n += 1
             yield rows(done)
         yield rows(list(packer.close()))
+        ids.clear()
+        give_back()
 
     def merge(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("window")
