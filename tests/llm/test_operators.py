@@ -268,6 +268,18 @@ def test_bpe_random_strings(library):
     same()
 
 
+def test_bpe_merges_a_bounded_number_of_new_words_at_once(library, monkeypatch):
+    letters = str.maketrans("0123456789", "sehijklmno")
+    texts = [" ".join(f"{w * 7919 % 1_000_003:x}".translate(letters) for w in range(i * 25_000, i * 25_000 + 25_000)) for i in range(10)]
+    for batch in (texts, [" ".join(texts)]):
+        sizes, merge = [], bpe.merge_words
+        with monkeypatch.context() as m:
+            m.setattr(bpe, "merge_words", lambda vocab, words, sizes=sizes: sizes.append(len(words)) or merge(vocab, words))
+            got = bpe.Encoder(word_vocabulary()).encode(batch)
+        assert [x.tolist() for x in got] == [library.encode(t, add_special_tokens=False).ids for t in batch]
+        assert sum(sizes) > 200_000 and max(sizes) <= 150_000
+
+
 def test_packing(spark, library):
     out = packing.pack(frame(spark, DOCS), word_vocabulary()).toPandas()
     known = {i: [*library.encode(t or "", add_special_tokens=False).ids, 1] for i, t in DOCS if i is not None}

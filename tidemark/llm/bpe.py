@@ -8,7 +8,8 @@ just its own positions, and the lists of the pairs that arise or vanish beside t
 Applying a rank everywhere at once gives what a word by word encoder gives provided no merge makes a
 symbol that an earlier rank uses; loading a vocabulary checks that.
 
-Only words are cached, at most CACHE_WORDS at a time, so memory doesn't grow with a partition.
+Only words are cached, at most CACHE_WORDS at a time, and at most 2 * ROUND_NEW_WORDS new ones are merged at once, so memory
+doesn't grow with a partition or with the distinct words in it. Workers give back what a round took.
 
 Defined results: a null or empty text, and one of white space alone, has no tokens and decodes to the
 empty text; the strings of special tokens in a text become those tokens, as the library does. Texts of
@@ -30,12 +31,15 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from tidemark.llm.common import bounded_batches, distinct, map_batches, texts
+from tidemark.llm.common import bounded_batches, distinct, give_back, map_batches, texts
 
 #: Words whose ids a worker keeps (about 200 bytes each); beyond it the cache starts anew.
 CACHE_WORDS = 400_000
-#: Texts of so many words in all are encoded together.
+#: Texts of so many words in all are encoded together, fewer as soon as so many are new: merging takes most of the memory.
 ROUND_WORDS = 4_000_000
+ROUND_NEW_WORDS = 75_000
+#: Pairs whose ranks are looked up together.
+RANK_PAIRS = 65_536
 
 # The contractions in the vocabulary file's split pattern, tried in front of runs of
 # letters, single digits and runs of other characters.
@@ -93,7 +97,7 @@ class Vocabulary:
         self.left, self.right = left.tolist(), right.tolist()
         keys = left * self.n + right
         order = np.argsort(keys, kind="stable")
-        self.keys, self.ranks = keys[order], order
+        self.keys, self.ranks = keys[order], order.astype(np.int32)
         made_at = np.full(self.n, -1, dtype=np.int64)
         made_at[self.made] = np.arange(len(pairs))
         if len(pairs) and not (np.maximum(made_at[left], made_at[right]) < np.arange(len(pairs))).all():
@@ -108,9 +112,11 @@ class Vocabulary:
         return [bytes(self.back[c] for c in w).decode() for w, _ in self.tool.pre_tokenizer.pre_tokenize_str(plain)]
 
     def rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """The rank of each pair, or -1."""
+        """The rank of each pair, or -1; looked up RANK_PAIRS at a time."""
         if not len(self.keys):
-            return np.full(len(a), -1, dtype=np.int64)
+            return np.full(len(a), -1, dtype=np.int32)
+        if len(a) > RANK_PAIRS:
+            return np.concatenate([self.rank(a[i : i + RANK_PAIRS], b[i : i + RANK_PAIRS]) for i in range(0, len(a), RANK_PAIRS)])
         key = a.astype(np.int64) * self.n + b
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where((self.keys[at] == key) & (a >= 0) & (b >= 0), self.ranks[at], -1)
@@ -137,7 +143,7 @@ def merge_words(vocab: Vocabulary, words: list[str]) -> tuple[np.ndarray, np.nda
     before[ends - sizes] = -1
     symbol = np.append(symbol, np.int32(-1))  # slot n, also reached as -1, is no symbol
     # the index: positions of each active rank, as lists of arrays, and a heap of the ranks
-    place = np.flatnonzero(after < n)
+    place = np.flatnonzero(after < n).astype(np.int32)
     rank = vocab.rank(symbol[place], symbol[after[place]])
     index: dict[int, list[np.ndarray]] = {}
     _add(index, rank, place)
@@ -249,11 +255,11 @@ class Encoder:
         self.new: list[str] = []
 
     def learn(self) -> None:
-        if self.new:
-            ids, bounds = merge_words(self.vocab, self.new)
+        for i in range(0, len(self.new), 2 * ROUND_NEW_WORDS):
+            ids, bounds = merge_words(self.vocab, self.new[i : i + 2 * ROUND_NEW_WORDS])
             self.bounds = np.concatenate([self.bounds, bounds[1:] + self.bounds[-1]])
             self.flat = np.concatenate([self.flat, ids])
-            self.new = []
+        self.new = []
 
     def _take(self, words: list[str]) -> np.ndarray:
         first = len(self.bounds) - 1 + len(self.new)
@@ -323,7 +329,7 @@ class Encoder:
             words, bounds = self.numbers(column)
             waiting.append((keys, words, bounds))
             n += len(words)
-            if n > ROUND_WORDS:
+            if n > ROUND_WORDS or len(self.new) > ROUND_NEW_WORDS:
                 yield from self._flush(waiting)
                 waiting, n = [], 0
                 if len(self.bounds) > CACHE_WORDS:
@@ -334,6 +340,8 @@ class Encoder:
         self.learn()
         for keys, words, bounds in waiting:
             yield keys, self.ids(words, bounds)
+        waiting.clear()
+        give_back()
 
     def encode(self, batch: list[str]) -> list[np.ndarray]:
         return [x for _, ids in self.rounds([(None, batch[i:j]) for i, j in slices(batch)]) for x in ids]
@@ -344,7 +352,7 @@ class Encoder:
 
 
 #: A batch is encoded in slices of about so many characters.
-SLICE_CHARS = 2_000_000
+SLICE_CHARS = 1_000_000
 
 
 def slices(batch: list[str]) -> list[tuple[int, int]]:
