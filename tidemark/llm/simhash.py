@@ -226,7 +226,8 @@ def classes(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id", tex
     pivots = _keys(reps, True).where("own").groupBy("key").agg(F.min("fp").alias("pivot"), F.max("fp").alias("last"))
     # members of buckets in which another fingerprint can be found
     # (where a bucket has one such member only, its comparison is done here)
-    met = _keys(reps, False).join(pivots, "key").where((F.col("pivot") != F.col("last")) | ((F.col("fp") != F.col("pivot")) & _close("fp", "pivot")))
+    # Spark takes the keys, some 120 rows for each fingerprint, for as many as there are fingerprints, and would broadcast them
+    met = _keys(reps, False).join(pivots.hint("merge"), "key").where((F.col("pivot") != F.col("last")) | ((F.col("fp") != F.col("pivot")) & _close("fp", "pivot")))
     met = cut(met.select("key", "fp", "own", "pivot"), "buckets")
     first = met.where("fp != pivot").where(_close("fp", "pivot")).select(F.col("fp").alias("u"), F.col("pivot").alias("v")).distinct()
     known = cut(components(first), "components")
