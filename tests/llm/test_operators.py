@@ -9,10 +9,12 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 import xxhash
 from brute import simhash as brute_simhash
 from brute import substring_dedup as brute_substring
+from pyspark.sql import functions as F
 
 from tidemark.llm import ann, bpe, langid, media, packing, quality, simhash, substring_dedup, toxicity, url_filter
 from tidemark.llm.common import mix
@@ -83,6 +85,26 @@ def test_substring_dedup_keeps_columns(spark):
     assert out.where("doc_id = 6").first()["text"] == ""
 
 
+def test_substring_dedup_holds_texts_once(spark, monkeypatch):
+    """Blocks hold each text compressed and nowhere else; what loses nothing is given back as it was, null too."""
+    blocks, cut = {}, substring_dedup.cut
+    monkeypatch.setattr(substring_dedup, "cut", lambda df, name, **o: blocks.setdefault(name, cut(df, name, **o)))
+    docs = spark.createDataFrame(DOCS, "doc_id long, text string").repartition(5)
+    out = rows(substring_dedup.drop_repeats(docs))
+    assert "string" not in blocks["blocks"].schema.simpleString()
+    lost = {i for i, _, n, _ in brute_substring(DOCS) if n}
+    assert [r for r in out if r[0] not in lost] == rows(docs.where(~F.col("doc_id").isin(lost) | F.col("doc_id").isNull()))
+
+
+def test_substring_dedup_row_groups_are_small(spark):
+    """Readers hold a row group as a whole: all the text of a task, 42 MB here, made one of them before."""
+    gen = np.random.default_rng(9)
+    docs = spark.createDataFrame([(i, " ".join(map(str, gen.integers(0, 1 << 40, 80_000)))) for i in range(40)], "doc_id long, text string").coalesce(1)
+    files = [pq.ParquetFile(f.removeprefix("file:")) for f in substring_dedup._stage(docs, "doc_id", "text", [], 50).inputFiles()]
+    sizes = [f.metadata.row_group(i).total_byte_size for f in files for i in range(f.num_row_groups)]
+    assert sum(sizes) > 16 << 20 and max(sizes) < 11 << 20
+
+
 def test_simhash(spark):
     out = simhash.classes(frame(spark, DOCS)).selectExpr("doc_id", "lower(lpad(hex(fp), 16, '0'))", "component_id")
     assert rows(out) == sorted(brute_simhash(DOCS), key=str)

@@ -28,10 +28,10 @@ import pyarrow as pa
 import xxhash
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Hasher, bounded_batches, cut, drop_tables, joined, mix, text_bytes, window_starts, word_bounds
+from tidemark.llm.common import WIDE, Hasher, bounded_batches, cut, drop_tables, give_back, joined, map_batches, mix, text_bytes, window_starts, word_bounds
 
 WINDOW = 50
 DEPTH, CELLS_PER_WINDOW = 2, 16
@@ -70,13 +70,13 @@ def _unpack(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.cumsum(step, dtype=np.uint64), plane(0).astype(bool)
 
 
-def _stage(docs: DataFrame, id_col: str, text_col: str, carry: list[str], length: int) -> DataFrame:
-    fields = [docs.schema[c] for c in carry]
-    rest = F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(carry)]) if carry else F.struct(F.lit(0).alias("c0"))
-    kind = "struct<" + (",".join(f"c{i}:{f.dataType.simpleString()}" for i, f in enumerate(fields)) or "c0:int") + ">"
+def _stage(docs: DataFrame, id_col: str, text_col: str, carry: list[Column], length: int) -> DataFrame:
+    rest = F.struct(*[c.alias(f"c{i}") for i, c in enumerate(carry or [F.lit(0)])])
+    kind = docs.select(rest.alias("rest")).schema["rest"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = TaskContext.get().partitionId() << 32
+        give_back()
         for b in batches:
             if b.num_rows:
                 data, bounds = text_bytes(b.column(1))
@@ -94,10 +94,20 @@ def _stage(docs: DataFrame, id_col: str, text_col: str, carry: list[str], length
                     names=["block", "ids", "bounds", "texts", "windows", "rest"],
                 )
                 n += 1
+                del b, data
+                give_back()
 
     bounded_batches(docs.sparkSession)
     picked = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), rest.alias("rest"))
-    return cut(picked.mapInArrow(run, f"{BLOCKS}, rest array<{kind}>"), "blocks")
+    return cut(picked.mapInArrow(run, f"{BLOCKS}, rest array<{kind}>"), "blocks", **WIDE)
+
+
+def _rows(b: pa.RecordBatch) -> Iterator[tuple]:
+    """One block at a time as Python values; what the one before took is given back."""
+    for k in range(b.num_rows):
+        if k:
+            give_back()
+        yield tuple(c[k].as_py() for c in b.columns)
 
 
 def _open(texts: bytes, bounds: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -109,26 +119,26 @@ def _open(texts: bytes, bounds: list[int]) -> tuple[np.ndarray, np.ndarray, np.n
 def _sketches(blocks: DataFrame, n_bits: int, stretch_bits: int, length: int) -> DataFrame:
     """(depth, stretch, block, cells): the part of each block's sketch in each stretch of cells."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for block, bounds, texts in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                data, starts, ends, first = _open(texts, bounds)
-                _, rows = _windows(n_bits, first, HASH.words(data, starts, ends), length)
-                for d, cells in enumerate(rows):
-                    cells = np.sort(cells)
-                    fresh = np.ones(len(cells), dtype=bool)
-                    fresh[1:] = cells[1:] != cells[:-1]
-                    at = np.flatnonzero(fresh)
-                    twice = np.diff(np.append(at, len(cells))) > 1
-                    cells = cells[at]
-                    stretch = (cells >> np.uint64(stretch_bits)).astype(np.int64)
-                    cut_at = np.flatnonzero(np.diff(stretch, prepend=-1))
-                    ends_at = np.append(cut_at[1:], len(cells))
-                    found = [(d, int(stretch[i]), block, _pack(cells[i:j] & np.uint64((1 << stretch_bits) - 1), twice[i:j])) for i, j in zip(cut_at.tolist(), ends_at.tolist(), strict=True)]
-                    if found:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), (pa.int32(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["depth", "stretch", "block", "cells"])
-
-    return blocks.select("block", "bounds", "texts").mapInArrow(run, "depth int, stretch long, block long, cells binary")
+    def run(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for block, bounds, texts in _rows(b):
+            data, starts, ends, first = _open(texts, bounds)
+            _, rows = _windows(n_bits, first, HASH.words(data, starts, ends), length)
+            del data, starts, ends
+            for d, cells in enumerate(rows):
+                cells = np.sort(cells)
+                fresh = np.ones(len(cells), dtype=bool)
+                fresh[1:] = cells[1:] != cells[:-1]
+                at = np.flatnonzero(fresh)
+                twice = np.diff(np.append(at, len(cells))) > 1
+                cells = cells[at]
+                stretch = (cells >> np.uint64(stretch_bits)).astype(np.int64)
+                cut_at = np.flatnonzero(np.diff(stretch, prepend=-1))
+                ends_at = np.append(cut_at[1:], len(cells))
+                found = [(d, int(stretch[i]), block, _pack(cells[i:j] & np.uint64((1 << stretch_bits) - 1), twice[i:j])) for i, j in zip(cut_at.tolist(), ends_at.tolist(), strict=True)]
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), (pa.int32(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["depth", "stretch", "block", "cells"])
+
+    return map_batches(blocks.select("block", "bounds", "texts"), run, "depth int, stretch long, block long, cells binary")
 
 
 def _merge(part: pd.DataFrame) -> pd.DataFrame:
@@ -144,7 +154,10 @@ def _merge(part: pd.DataFrame) -> pd.DataFrame:
     repeated[order] = np.repeat(count > 1, np.diff(np.append(at, len(every))))
     stops = np.cumsum([len(c) for c in cells])
     bits = [np.packbits(repeated[j - len(c) : j]).tobytes() for c, j in zip(cells, stops, strict=True)]
-    return pd.DataFrame({"block": part["block"], "depth": part["depth"], "stretch": part["stretch"], "n": [len(c) for c in cells], "bits": bits})
+    n = [len(c) for c in cells]
+    del cells, twice, every, order, fresh, count, repeated
+    give_back()
+    return pd.DataFrame({"block": part["block"], "depth": part["depth"], "stretch": part["stretch"], "n": n, "bits": bits})
 
 
 def digests(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
@@ -158,62 +171,62 @@ def digests(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, at: np.ndarr
 def _candidates(blocks: DataFrame, n_bits: int, length: int) -> DataFrame:
     """(h1, h2, id, block, at) of every window that the sketch estimates repeated; at: row << 32 | word."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for block, ids, bounds, texts, marks in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                data, starts, ends, first = _open(texts, bounds)
-                at, rows = _windows(n_bits, first, HASH.words(data, starts, ends), length)
-                picked = np.ones(len(at), dtype=bool)
-                for d, cells in enumerate(rows):
-                    mine = sorted((m for m in marks if m["depth"] == d), key=lambda m: m["stretch"])
-                    bits = np.concatenate([np.unpackbits(np.frombuffer(m["bits"], np.uint8), count=m["n"]) for m in mine]) if mine else np.empty(0, np.uint8)
-                    picked &= bits[np.unique(cells, return_inverse=True)[1]].astype(bool)
-                at = at[picked]
-                if len(at):
-                    h = digests(data, starts, ends, at, length)
-                    row = np.searchsorted(first, at, side="right") - 1
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(h[:, 0]), pa.array(h[:, 1]), pa.array(ids, pa.int64()).take(pa.array(row)), pa.array(np.full(len(at), block)), pa.array((row << 32) | (at - first[row]))],
-                        names=["h1", "h2", "id", "block", "at"],
-                    )
-
-    return blocks.select("block", "ids", "bounds", "texts", "marks").mapInArrow(run, "h1 long, h2 long, id long, block long, at long")
-
-
-def _removals(blocks: DataFrame, rest_type: str, length: int) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for k in range(b.num_rows):
-                ids, bounds, texts, hits = (b.column(i)[k].as_py() for i in range(4))
-                data, starts, ends, first = _open(texts, bounds)
-                gone = np.zeros(len(starts) + 1, dtype=np.int64)
-                if hits:
-                    at = np.array(hits, dtype=np.int64)
-                    at = first[at >> 32] + (at & 0xFFFFFFFF)
-                    np.add.at(gone, at, 1)
-                    np.add.at(gone, at + length, -1)
-                stay = np.cumsum(gone)[:-1] == 0
-                raw = data.tobytes()
-                out, removed = [], np.diff(np.concatenate([[0], np.cumsum(~stay)])[first])
-                for i in range(len(ids)):
-                    a, z = first[i], first[i + 1]
-                    words = raw[bounds[i] : bounds[i + 1]].split()
-                    out.append(b" ".join(itertools.compress(words, stay[a:z].tolist()) if removed[i] else words).decode())
+    def run(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for block, ids, bounds, texts, marks in _rows(b):
+            data, starts, ends, first = _open(texts, bounds)
+            at, rows = _windows(n_bits, first, HASH.words(data, starts, ends), length)
+            picked = np.ones(len(at), dtype=bool)
+            for d, cells in enumerate(rows):
+                mine = sorted((m for m in marks if m["depth"] == d), key=lambda m: m["stretch"])
+                bits = np.concatenate([np.unpackbits(np.frombuffer(m["bits"], np.uint8), count=m["n"]) for m in mine]) if mine else np.empty(0, np.uint8)
+                picked &= bits[np.unique(cells, return_inverse=True)[1]].astype(bool)
+            del rows
+            at = at[picked]
+            if len(at):
+                h = digests(data, starts, ends, at, length)
+                row = np.searchsorted(first, at, side="right") - 1
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids, pa.int64()), pa.array(np.diff(first)), pa.array(removed), pa.array(out, pa.string()), b.column(4)[k].values],
-                    names=["id", "n_words", "n_removed", "text", "rest"],
+                    [pa.array(h[:, 0]), pa.array(h[:, 1]), pa.array(ids, pa.int64()).take(pa.array(row)), pa.array(np.full(len(at), block)), pa.array((row << 32) | (at - first[row]))],
+                    names=["h1", "h2", "id", "block", "at"],
                 )
 
-    return blocks.select("ids", "bounds", "texts", "hits", "rest").mapInArrow(run, f"id long, n_words long, n_removed long, text string, rest {rest_type}")
-
-
-def dedup(docs: DataFrame, length: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", carry: list[str] = ()) -> DataFrame:
+    return map_batches(blocks.select("block", "ids", "bounds", "texts", "marks"), run, "h1 long, h2 long, id long, block long, at long")
+
+
+def _removals(blocks: DataFrame, rest_type: str, length: int, as_is: bool) -> DataFrame:
+    def run(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for k, (ids, bounds, texts, hits) in enumerate(_rows(b.select(["ids", "bounds", "texts", "hits"]))):
+            data, starts, ends, first = _open(texts, bounds)
+            gone = np.zeros(len(starts) + 1, dtype=np.int64)
+            if hits:
+                at = np.array(hits, dtype=np.int64)
+                at = first[at >> 32] + (at & 0xFFFFFFFF)
+                np.add.at(gone, at, 1)
+                np.add.at(gone, at + length, -1)
+            stay = np.cumsum(gone)[:-1] == 0
+            raw = data.tobytes()
+            out, removed = [], np.diff(np.concatenate([[0], np.cumsum(~stay)])[first])
+            for i in range(len(ids)):
+                a, z = first[i], first[i + 1]
+                text = raw[bounds[i] : bounds[i + 1]]
+                if removed[i] or not as_is:
+                    words = text.split()
+                    text = b" ".join(itertools.compress(words, stay[a:z].tolist()) if removed[i] else words)
+                out.append(text.decode())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ids, pa.int64()), pa.array(np.diff(first)), pa.array(removed), pa.array(out, pa.string()), b.column(4)[k].values],
+                names=["id", "n_words", "n_removed", "text", "rest"],
+            )
+
+    return map_batches(blocks.select("ids", "bounds", "texts", "hits", "rest"), run, f"id long, n_words long, n_removed long, text string, rest {rest_type}")
+
+
+def dedup(docs: DataFrame, length: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", carry: list[Column] = (), as_is: bool = False) -> DataFrame:
     """(id, n_words, n_removed, text, rest) for every document; text: the words that stay, joined by single spaces.
 
-    rest: a struct c0, c1... of the columns named in carry.
+    rest: a struct c0, c1... of the columns in carry. as_is: a text that loses nothing stays as it is (a null one is empty).
     """
-    carry = list(carry)
-    blocks = _stage(docs, id_col, text_col, carry, length)
+    blocks = _stage(docs, id_col, text_col, list(carry), length)
     total = blocks.agg(F.sum("windows")).first()[0] or 0
     n_bits = max(16, int(CELLS_PER_WINDOW * total - 1).bit_length()) if total else 16
     stretch_bits = min(n_bits, (CELLS_PER_WINDOW * STRETCH_WINDOWS).bit_length() - 1)
@@ -231,16 +244,17 @@ def dedup(docs: DataFrame, length: int = WINDOW, id_col: str = "doc_id", text_co
     drop_tables(found, repeated)
     hits = hits.groupBy(F.col("block").alias("h_block")).agg(F.collect_list("at").alias("hits"))
     rest_type = blocks.schema["rest"].dataType.elementType.simpleString()
-    return _removals(blocks.join(hits, F.col("block") == F.col("h_block"), "left"), rest_type, length)
+    return _removals(blocks.join(hits, F.col("block") == F.col("h_block"), "left"), rest_type, length, as_is)
 
 
 def drop_repeats(docs: DataFrame, length: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents with repeated windows removed, all columns kept; texts that lose nothing stay as they are."""
     names = docs.columns
-    out = dedup(docs, length, id_col, text_col, names)
+    # the blocks hold the texts already; of the column itself only whether it is null
+    out = dedup(docs, length, id_col, text_col, [F.isnull(c).alias("none") if c == text_col else F.col(c) for c in names], as_is=True)
     columns = [F.col(f"rest.c{i}").alias(c) for i, c in enumerate(names)]
     at = names.index(text_col)
-    columns[at] = F.when(F.col("n_removed") > 0, F.col("text")).otherwise(F.col(f"rest.c{at}")).alias(text_col)
+    columns[at] = F.when(~F.col(f"rest.c{at}"), F.col("text")).alias(text_col)
     if "n_chars" in names:
         i = names.index("n_chars")
         columns[i] = F.when(F.col("n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col(f"rest.c{i}")).alias("n_chars")
